@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,7 +54,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
         col = batch.column(batch.schema.get_field_index(column))
         if not batch.num_rows:
             continue
-        size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        size = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             before = size[at - 1] if at else 0
@@ -65,7 +66,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column's values one after another, and the n + 1 offsets; null counts as empty."""
-    col = pa.compute.fill_null(col.cast(pa.large_string()), "")
+    col = pc.fill_null(col.cast(pa.large_string()), "")
     col = pa.concat_arrays([col]) if col.offset == 0 else pa.concat_arrays([col, pa.array([], pa.large_string())])
     offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
     data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
