@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from amplispark.automaton import run
 from amplispark.runtime import flat, slices
 
 START, BARE, QUOTED, QUOTE, CLOSED, BAD = range(6)
@@ -29,52 +30,15 @@ STEP = np.array(
 CLASS = np.zeros(256, np.uint8)
 for _byte, _class in ((",", SEPARATOR), ('"', MARK), (" ", BLANK), ("\t", BLANK), ("\r", CR), ("\n", LF)):
     CLASS[ord(_byte)] = _class
-CHUNK = 64
 LETTERS = re.compile("[ACGTRYSWKMBDHVNacgtryswkmbdhvn]*")
 TRIM = " \t\r\n"
 
 
 def scan(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Final state of each row, and the positions of all separators that divide fields.
-
-    Rows are cut into chunks. Each chunk is read from all six states at once, which gives its transition function;
-    functions of a row's chunks are composed by a prefix scan, and a second reading from the states so found
-    marks the separators. A row of any length costs as many steps as a chunk is long, and the logarithm of its
-    number of chunks.
-    """
-    n = len(offsets) - 1
-    length = np.diff(offsets)
-    per_row = np.maximum(1, -(-length // CHUNK))
-    row = np.repeat(np.arange(n), per_row)
-    head = np.cumsum(per_row) - per_row
-    nth = np.arange(len(row)) - head[row]
-    begin = offsets[row] + nth * CHUNK
-    size = np.minimum(CHUNK, offsets[row + 1] - begin)
-    order = np.argsort(-size, kind="stable")
-    left = np.searchsorted(-size[order], -np.arange(CHUNK), side="left")  # chunks longer than j
+    """Final state of each row, and the positions of all separators that divide fields."""
     kind = CLASS[data]
-
-    change = np.tile(np.arange(6, dtype=np.uint8), (len(row), 1))
-    for j in range(CHUNK):
-        at = order[: left[j]]
-        if not len(at):
-            break
-        change[at] = STEP[change[at], kind[begin[at] + j][:, None]]
-    d = 1
-    while d < (per_row.max() if n else 0):
-        at = np.nonzero(nth >= d)[0]
-        change[at] = np.take_along_axis(change[at], change[at - d].astype(np.intp), axis=1)
-        d *= 2
-    state = np.where(nth > 0, change[np.maximum(np.arange(len(row)) - 1, 0), START], START).astype(np.uint8)
-    divides = np.zeros(len(data), bool)
-    for j in range(CHUNK):
-        at = order[: left[j]]
-        if not len(at):
-            break
-        k = kind[begin[at] + j]
-        divides[begin[at] + j] = (k == SEPARATOR) & (state[at] != QUOTED) & (state[at] != BAD)
-        state[at] = STEP[state[at], k]
-    return change[head + per_row - 1, START] if n else np.zeros(0, np.uint8), np.nonzero(divides)[0]
+    before, final = run(kind, offsets, STEP, START)
+    return final, np.nonzero((kind == SEPARATOR) & (before != QUOTED) & (before != BAD))[0]
 
 
 def _value(raw: str) -> str:
