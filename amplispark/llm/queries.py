@@ -5,6 +5,7 @@ from __future__ import annotations
 from amplispark.llm.bpe import encode
 from amplispark.llm.packing import pack
 from amplispark.llm.pieces import split_oversized
+from amplispark.llm.sentences import sentences
 from amplispark.runtime import table
 
 
@@ -21,6 +22,10 @@ def p8_pack(spark, sf):
     return pack(table(spark, sf, "documents"))
 
 
+def p9_found(spark, sf):
+    return sentences(table(spark, sf, "documents"))
+
+
 #: The recurrence of the cuts, one step for each piece.
 P6_SQL = r"""
 WITH RECURSIVE r AS (SELECT 'seq' AS rec_kind, seq_id AS rec_id, sequence AS s FROM sequences WHERE length(sequence) > 2000
@@ -37,4 +42,5 @@ QUERIES = {
     "p6_found": (p6_found, P6_SQL),
     "p7_ids": (p7_ids, None),
     "p8_pack": (p8_pack, None),
+    "p9_found": (p9_found, None),
 }
