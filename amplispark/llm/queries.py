@@ -6,9 +6,14 @@ from amplispark.llm.bpe import encode
 from amplispark.llm.packing import pack
 from amplispark.llm.pieces import split_oversized
 from amplispark.llm.sentences import sentences
+from amplispark.llm.spans import shared_between
 from amplispark.runtime import table
 
 
+def p3_found(spark, sf):
+    return shared_between([("seq", table(spark, sf, "sequences"), "seq_id", "sequence"), ("prod", table(spark, sf, "products"), "product_id", "sequence")])
+
+
 def p6_found(spark, sf):
     seq = split_oversized(table(spark, sf, "sequences"), "seq_id", "sequence", "seq")
     return seq.unionByName(split_oversized(table(spark, sf, "genbank_records"), "gb_id", "seq", "gb"))
@@ -26,6 +31,19 @@ def p9_found(spark, sf):
     return sentences(table(spark, sf, "documents"))
 
 
+#: Every substring of 80 letters, then islands of the starts of those of more than one record.
+P3_SQL = """
+WITH r AS (SELECT 'seq' AS rec_kind, seq_id AS rec_id, sequence AS s FROM sequences WHERE length(sequence) >= 80
+  UNION ALL SELECT 'prod', product_id, sequence FROM products WHERE length(sequence) >= 80),
+k AS (SELECT rec_kind, rec_id, s, unnest(range(0, length(s) - 79)) AS p FROM r),
+v AS (SELECT * FROM (SELECT rec_kind, rec_id, p, substr(s, CAST(p + 1 AS BIGINT), 80) AS x FROM k) WHERE regexp_full_match(x, '[ACGT]{80}')),
+c AS (SELECT x FROM v GROUP BY x HAVING min(rec_kind || rec_id) <> max(rec_kind || rec_id)),
+h AS (SELECT rec_kind, rec_id, p FROM v WHERE x IN (SELECT x FROM c)),
+i AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY rec_kind, rec_id ORDER BY p) <= 80 THEN 0 ELSE 1 END AS fresh FROM h),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY rec_kind, rec_id ORDER BY p) AS run FROM i)
+SELECT rec_kind, rec_id, CAST(min(p) AS BIGINT) AS span_start, CAST(max(p) + 80 AS BIGINT) AS span_end FROM g GROUP BY rec_kind, rec_id, run
+"""
+
 #: The recurrence of the cuts, one step for each piece.
 P6_SQL = r"""
 WITH RECURSIVE r AS (SELECT 'seq' AS rec_kind, seq_id AS rec_id, sequence AS s FROM sequences WHERE length(sequence) > 2000
@@ -39,6 +57,7 @@ SELECT rec_kind, rec_id, CAST(piece_no AS BIGINT) AS piece_no, a AS piece_start,
 """
 
 QUERIES = {
+    "p3_found": (p3_found, P3_SQL),
     "p6_found": (p6_found, P6_SQL),
     "p7_ids": (p7_ids, None),
     "p8_pack": (p8_pack, None),

@@ -156,6 +156,8 @@ def _goes_on(text: str, i: int) -> bool:
     j = i
     while j and i - j < 24 and ((c := text[j - 1]).isalpha() or c in ".-" or "\u0900" <= c <= "\u0963"):
         j -= 1
+    if i and text[i - 1] == ".":
+        return False
     word = text[j:i].lstrip(".-")
     j = i - len(word)
     prior = text[j - 1] if j else " "
