@@ -5,9 +5,16 @@ from __future__ import annotations
 from amplispark.llm.bpe import encode
 from amplispark.llm.packing import pack
 from amplispark.llm.pieces import split_oversized
+from amplispark.llm.similar import similar_pairs
 from amplispark.llm.sentences import sentences
 from amplispark.llm.spans import shared_between
 from amplispark.runtime import table
+from pyspark.sql import functions as F
+
+
+def p1_found(spark, sf):
+    products = table(spark, sf, "products").withColumn("_name", F.regexp_replace(F.lower("primer_name"), "[^a-z0-9]", ""))
+    return similar_pairs(products, "product_id", "_name", "sequence").select(F.col("a").alias("product_id_a"), F.col("b").alias("product_id_b"))
 
 
 def p3_found(spark, sf):
@@ -31,6 +38,15 @@ def p9_found(spark, sf):
     return sentences(table(spark, sf, "documents"))
 
 
+#: Common shingles counted for every pair that has any.
+P1_SQL = """
+WITH r AS (SELECT product_id, regexp_replace(lower(primer_name), '[^a-z0-9]', '', 'g') AS k, sequence AS s FROM products WHERE primer_name IS NOT NULL AND length(sequence) >= 8),
+t AS (SELECT DISTINCT product_id, k, x FROM (SELECT product_id, k, substr(s, CAST(p + 1 AS BIGINT), 8) AS x FROM (SELECT product_id, k, s, unnest(range(0, length(s) - 7)) AS p FROM r))),
+n AS (SELECT product_id, count(*) AS n FROM t GROUP BY product_id),
+o AS (SELECT a.product_id AS product_id_a, b.product_id AS product_id_b, count(*) AS c FROM t a JOIN t b ON a.k = b.k AND a.x = b.x AND a.product_id < b.product_id GROUP BY 1, 2)
+SELECT product_id_a, product_id_b FROM o JOIN n na ON na.product_id = product_id_a JOIN n nb ON nb.product_id = product_id_b WHERE 3 * c >= na.n + nb.n
+"""
+
 #: Every substring of 80 letters, then islands of the starts of those of more than one record.
 P3_SQL = """
 WITH r AS (SELECT 'seq' AS rec_kind, seq_id AS rec_id, sequence AS s FROM sequences WHERE length(sequence) >= 80
@@ -57,6 +73,7 @@ SELECT rec_kind, rec_id, CAST(piece_no AS BIGINT) AS piece_no, a AS piece_start,
 """
 
 QUERIES = {
+    "p1_found": (p1_found, P1_SQL),
     "p3_found": (p3_found, P3_SQL),
     "p6_found": (p6_found, P6_SQL),
     "p7_ids": (p7_ids, None),
