@@ -1 +1 @@
-
+"""Column functions over DNA strings, all inside Catalyst."""

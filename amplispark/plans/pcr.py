@@ -1 +1,192 @@
-QUERIES = {}
+"""Queries of in-silico PCR over the tables sequences, products, primers and pool_primers."""
+
+from __future__ import annotations
+
+from amplispark.config import MatchConfig, PcrConfig
+from amplispark.functions import dna
+from amplispark.operators.finalize import count_by, dedup, finalize, flattened, number, number_per_call
+from amplispark.operators.products import matches, pair_products, pool_products, records
+from amplispark.runtime import table
+from amplispark.sources.primers import Primer, pairs_of, pool_of
+from amplispark.sources.writers import fasta_text, tsv_columns
+from pyspark.sql import functions as F
+
+LETTERS, COMPLEMENTS = dna.LETTERS, dna.COMPLEMENTS
+
+
+def _recs(spark, sf):
+    return records(table(spark, sf, "sequences"), "seq_id", "header", "sequence", "source_file")
+
+
+def _pairs(spark, sf):
+    return pairs_of(table(spark, sf, "primers"))
+
+
+def _pool(spark, sf):
+    return pool_of(table(spark, sf, "pool_primers"))
+
+
+def _fwd(spark, sf):
+    return [Primer(p.name, p.forward) for p in _pairs(spark, sf)]
+
+
+def _config(k=0, rc=False, identity=0.0, **more):
+    return PcrConfig(MatchConfig(k, identity, rc), **({"min_len": 50, "max_len": 2000, "max_n_fraction": 0.1} | more))
+
+
+def _scalar(name, make):
+    def run(spark, sf):
+        return table(spark, sf, "sequences").select("seq_id", make().alias(name))
+
+    return run
+
+
+def _out(df):
+    return flattened(df).drop("source_file", "reference_header")
+
+
+def _pair(**config):
+    return lambda spark, sf: _out(pair_products(_recs(spark, sf), _pairs(spark, sf), _config(**config)))
+
+
+def _pooled(self_match=False, **config):
+    return lambda spark, sf: _out(pool_products(_recs(spark, sf), _pool(spark, sf), _config(**config), self_match))
+
+
+def _all(spark, sf):
+    return pair_products(_recs(spark, sf), _pairs(spark, sf), _config(1, True))
+
+
+def _match(k, rc=False, identity=0.0):
+    return lambda spark, sf: matches(_recs(spark, sf), _fwd(spark, sf), MatchConfig(k, identity, rc)).select("rec_id", "primer_idx", "start", "end", "edit_distance", "strand", "cigar", "identity")
+
+
+def _given(spark, sf):
+    """The products table as products."""
+    match = lambda s: F.struct(F.col(f"{s}_start").alias("start"), F.col(f"{s}_end").alias("end"), F.col(f"{s}_mismatches").alias("edit_distance"), F.col("strand"), F.col(f"{s}_cigar").alias("cigar"), F.col(f"{s}_identity").alias("identity"))
+    t = table(spark, sf, "products")
+    return t.select(F.col("product_id").alias("rec_id"), F.lit(0).cast("bigint").alias("primer_idx"), F.lit(0).cast("bigint").alias("rev_idx"), "reference_header", "source_file", "primer_name", "sequence", "full_length", match("fwd").alias("fwd"), match("rev").alias("rev"), "strand", "is_circular_wrap", "original_start", "original_end", "case_number")
+
+
+def dedup_by_reference(spark, sf):
+    return dedup(_given(spark, sf).where(F.col("sequence").isNotNull())).select(F.col("rec_id").alias("product_id"), "reference_header")
+
+
+def case_numbers(spark, sf):
+    return number(_given(spark, sf).drop("case_number")).select(F.col("rec_id").alias("product_id"), "case_number")
+
+
+def header_format(spark, sf):
+    t = table(spark, sf, "products")
+    return t.select("product_id", dna.amplicon_id("reference_header", "primer_name", "strand", "is_circular_wrap", "case_number").alias("amplicon_id"))
+
+
+def summary_totals(spark, sf):
+    seqs = table(spark, sf, "sequences").agg(F.count(F.lit(1)).alias("total_sequences"))
+    prims = table(spark, sf, "primers").agg(F.count(F.lit(1)).alias("total_primers"))
+    prods = table(spark, sf, "products").agg(F.count(F.lit(1)).alias("total_products"))
+    return seqs.join(F.broadcast(prims), how="cross").join(F.broadcast(prods), how="cross")  # one row each
+
+
+def identity(spark, sf):
+    t = table(spark, sf, "products")
+    return t.select("product_id", dna.identity("fwd_mismatches", F.col("fwd_end") - F.col("fwd_start")).alias("identity"), dna.identity_text("fwd_identity").alias("identity_text"))
+
+
+def wrap_and_origpos(spark, sf):
+    t = table(spark, sf, "products")
+    return t.select("product_id", dna.is_circular_wrap("fwd_end", "full_length").alias("wraps"), dna.original_pos("fwd_start", "full_length").alias("original"))
+
+
+def format_detect(spark, sf):
+    return table(spark, sf, "inbox_files").select("file_id", dna.file_format("source_file").alias("format"), dna.is_gzipped("source_file").alias("gzipped"))
+
+
+def primer_validate(spark, sf):
+    fwd = dna.ascii_upper(F.trim("forward"))
+    return table(spark, sf, "primers").select("primer_idx", fwd.rlike("^[ACGTRYSWKMBDHVN]*$").alias("valid"), (~F.length(fwd).between(10, 50)).alias("unusual"))
+
+
+_RC = "reverse(translate(regexp_replace({0}, '[^" + LETTERS + "]', 'N', 'g'), '" + LETTERS + "', '" + COMPLEMENTS + "'))"
+#: For each base code of a primer, the letters of text that may stand for one of its bases.
+_CODES = {"A": 1, "C": 2, "G": 4, "T": 8, "R": 5, "Y": 10, "S": 6, "W": 9, "K": 12, "M": 3, "B": 14, "D": 13, "H": 11, "V": 7, "N": 15}
+
+
+def _pattern_sql(column: str) -> str:
+    """SQL that makes a regular expression of a primer, letter by letter."""
+    whens = " ".join(f"WHEN '{c}' THEN '[{''.join(t for t, v in (*_CODES.items(), ('U', 8)) if v & b)}]'" for c, b in _CODES.items())
+    return f"array_to_string(list_transform(string_split({column}, ''), lambda c: CASE c {whens} END), '')"
+
+
+#: Usable primers; exact matches of either arm; of neighbouring matches of a primer the last.
+_BASE = rf"""
+WITH pr AS (SELECT row_number() OVER (ORDER BY primer_idx, name) - 1 AS primer_idx, name, upper(trim(forward)) AS f, upper(trim(reverse)) AS v FROM primers),
+s AS (SELECT seq_id AS rec_id, upper(sequence) AS s, length(sequence) AS len FROM sequences WHERE length(sequence) > 0),
+pf AS (SELECT primer_idx, name, length(f) AS m, {_pattern_sql('f')} AS pat FROM pr WHERE regexp_full_match(f, '[ACGTRYSWKMBDHVN]+')),
+pv AS (SELECT primer_idx, length(v) AS m, {_pattern_sql(_RC.format('v'))} AS pat FROM pr WHERE regexp_full_match(v, '[ACGTRYSWKMBDHVN]+')),
+cf AS (SELECT rec_id, primer_idx, name, m, pat, len, s FROM s, pf WHERE regexp_matches(s, pat)),
+hf AS (SELECT rec_id, primer_idx, name, p AS a, p + m AS e, len FROM (SELECT *, unnest(range(0, len - m + 1)) AS p FROM cf) WHERE regexp_full_match(substr(s, CAST(p + 1 AS BIGINT), m), pat)),
+f AS (SELECT * FROM hf WHERE NOT EXISTS (SELECT 1 FROM hf n WHERE n.rec_id = hf.rec_id AND n.primer_idx = hf.primer_idx AND n.e = hf.e + 1))
+"""
+MATCH_SQL = _BASE + "SELECT rec_id, CAST(primer_idx AS BIGINT) AS primer_idx, CAST(a AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", CAST(0 AS INTEGER) AS edit_distance, '+' AS strand, CAST(e - a AS VARCHAR) || '=' AS cigar, CAST(1.0 AS DOUBLE) AS identity FROM f"
+_PAIR = _BASE + rf""",
+cv AS (SELECT DISTINCT rec_id, primer_idx FROM f),
+hv AS (SELECT rec_id, primer_idx, p AS a, p + m AS e FROM (SELECT s.rec_id, pv.primer_idx, pv.m, pv.pat, s.s, unnest(range(0, s.len - pv.m + 1)) AS p FROM cv JOIN s ON s.rec_id = cv.rec_id JOIN pv ON pv.primer_idx = cv.primer_idx WHERE regexp_matches(s.s, pv.pat)) WHERE regexp_full_match(substr(s, CAST(p + 1 AS BIGINT), m), pat)),
+j AS (SELECT f.rec_id, f.primer_idx, f.name, f.len, f.a AS fa, f.e AS fe, v.a AS va, v.e AS ve FROM f JOIN hv v ON v.rec_id = f.rec_id AND v.primer_idx = f.primer_idx AND v.a >= f.e AND v.e <= least(f.a + 2000, f.len)
+  WHERE NOT EXISTS (SELECT 1 FROM hv n WHERE n.rec_id = v.rec_id AND n.primer_idx = v.primer_idx AND n.e = v.e + 1 AND n.e <= least(f.a + 2000, f.len)) AND v.e - f.a BETWEEN 50 AND 2000),
+x AS (SELECT j.*, substr(s.s, CAST({{start}} + 1 AS BIGINT), CAST({{stop}} - {{start}} AS BIGINT)) AS sequence FROM j JOIN s ON s.rec_id = j.rec_id WHERE {{start}} < {{stop}})
+SELECT rec_id, CAST(primer_idx AS BIGINT) AS primer_idx, CAST(primer_idx AS BIGINT) AS rev_idx, name AS primer_name, sequence, CAST(ve - fa AS BIGINT) AS full_length, '+' AS strand, false AS is_circular_wrap,
+  CAST({{start}} % len AS BIGINT) AS original_start, CAST({{stop}} % len AS BIGINT) AS original_end,
+  CAST(fa AS BIGINT) AS fwd_start, CAST(fe AS BIGINT) AS fwd_end, CAST(0 AS INTEGER) AS fwd_mismatches, CAST(1.0 AS DOUBLE) AS fwd_identity, CAST(fe - fa AS VARCHAR) || '=' AS fwd_cigar,
+  CAST(va AS BIGINT) AS rev_start, CAST(ve AS BIGINT) AS rev_end, CAST(0 AS INTEGER) AS rev_mismatches, CAST(1.0 AS DOUBLE) AS rev_identity, CAST(ve - va AS VARCHAR) || '=' AS rev_cigar
+FROM x WHERE (length(sequence) - length(replace(sequence, 'N', ''))) / length(sequence) <= {{n}}
+"""
+PAIR_SQL = _PAIR.format(start="fa", stop="ve", n="0.1")
+TRIMMED_SQL = _PAIR.format(start="fe", stop="va", n="0.1")
+ANY_N_SQL = _PAIR.format(start="fa", stop="ve", n="1.0")
+_AMPLICON = r"CASE WHEN regexp_matches(reference_header, '\S') THEN regexp_extract(reference_header, '\S+') ELSE reference_header END || ':' || primer_name || CASE WHEN strand = '-' THEN '_rc' ELSE '' END || CASE WHEN is_circular_wrap THEN '_wrap' ELSE '' END || ':' || case_number"
+_NUMBER = "row_number() OVER (PARTITION BY reference_header ORDER BY product_id)"
+_FASTA_EXT, _GB_EXT = ("'" + "','".join(e) + "'" for e in (dna.FASTA_EXTENSIONS, dna.GENBANK_EXTENSIONS))
+_EXT = r"regexp_extract(regexp_replace(lower(source_file), '\.gz$', ''), '[^/]\.([^./]+)$', 1)"
+
+QUERIES = {
+    "rc": (_scalar("rc", lambda: dna.reverse_complement("sequence")), f"SELECT seq_id, {_RC.format('sequence')} AS rc FROM sequences"),
+    "complement": (_scalar("complement", lambda: dna.complement("sequence")), f"SELECT seq_id, reverse({_RC.format('sequence')}) AS complement FROM sequences"),
+    "canonical": (_scalar("canonical", lambda: dna.canonical("sequence")), f"SELECT seq_id, least(sequence, {_RC.format('sequence')}) AS canonical FROM sequences"),
+    "n_fraction": (_scalar("n_fraction", lambda: dna.n_fraction("sequence")), "SELECT seq_id, CASE WHEN length(sequence) = 0 THEN 0.0::DOUBLE ELSE (length(sequence) - length(replace(sequence, 'N', ''))) / length(sequence) END AS n_fraction FROM sequences"),
+    "circular_extend": (_scalar("extended", lambda: dna.circular_extend("sequence", 100)), "SELECT seq_id, sequence || substr(sequence, 1, 99) AS extended FROM sequences"),
+    "ascii_upper": (_scalar("upper", lambda: dna.ascii_upper("sequence")), f"SELECT seq_id, translate(sequence, '{dna.LOWER_AZ}', '{dna.AZ}') AS upper FROM sequences"),
+    "reference_id": (_scalar("reference_id", lambda: dna.reference_id("header")), r"SELECT seq_id, CASE WHEN regexp_matches(header, '\S') THEN regexp_extract(header, '\S+') ELSE header END AS reference_id FROM sequences"),
+    "wrap80": (_scalar("lines", lambda: dna.wrapped("sequence")), r"SELECT seq_id, rtrim(regexp_replace(sequence, '(.{80})', '\1' || chr(10), 'g'), chr(10)) AS lines FROM sequences"),
+    "identity": (identity, "SELECT product_id, CASE WHEN fwd_end = fwd_start THEN 0.0 ELSE greatest(fwd_end - fwd_start - fwd_mismatches, 0) / (fwd_end - fwd_start) END AS identity, format('{:.4f}', round_even(fwd_identity, 4)) AS identity_text FROM products"),
+    "wrap_and_origpos": (wrap_and_origpos, "SELECT product_id, fwd_end >= full_length AS wraps, CASE WHEN full_length <> 0 THEN ((fwd_start % full_length) + full_length) % full_length END AS original FROM products"),
+    "format_detect": (format_detect, f"SELECT file_id, CASE WHEN {_EXT} IN ({_FASTA_EXT}) THEN 'fasta' WHEN {_EXT} IN ({_GB_EXT}) THEN 'genbank' END AS format, ends_with(lower(source_file), '.gz') AS gzipped FROM inbox_files"),
+    "primer_validate": (primer_validate, "SELECT primer_idx, regexp_full_match(upper(trim(forward, ' ')), '[ACGTRYSWKMBDHVN]*') AS valid, length(trim(forward, ' ')) NOT BETWEEN 10 AND 50 AS unusual FROM primers"),
+    "match_exact": (_match(0), MATCH_SQL),
+    "match_approx": (_match(2), None),
+    "match_identity_filter": (_match(2, identity=0.95), None),
+    "match_rc_strand": (_match(1, True), None),
+    "pair_linear": (_pair(), PAIR_SQL),
+    "pair_trimmed": (_pair(trim_primers=True), TRIMMED_SQL),
+    "pair_n_filter": (_pair(max_n_fraction=1.0), ANY_N_SQL),
+    "pair_len_filter": (_pair(max_len=2000), PAIR_SQL),
+    "pair_approx": (_pair(k=2), None),
+    "pair_rc_strand": (_pair(k=1, rc=True), None),
+    "pair_circular": (_pair(k=1, circular=True), None),
+    "pool_basic": (_pooled(), None),
+    "pool_self_match": (_pooled(self_match=True), None),
+    "pool_circular": (_pooled(circular=True), None),
+    "pool_rc_strand": (_pooled(k=1, rc=True), None),
+    "pcr_finalized": (lambda spark, sf: _out(finalize(_all(spark, sf), True)), None),
+    "pcr_numbered_per_call": (lambda spark, sf: _out(number_per_call(_all(spark, sf))), None),
+    "dedup_by_reference": (dedup_by_reference, f"SELECT min(product_id) AS product_id, reference_header FROM (SELECT product_id, reference_header, least(sequence, {_RC.format('sequence')}) AS c FROM products WHERE sequence IS NOT NULL) GROUP BY reference_header, c"),
+    "case_numbers": (case_numbers, f"SELECT product_id, {_NUMBER} AS case_number FROM products"),
+    "header_format": (header_format, f"SELECT product_id, {_AMPLICON} AS amplicon_id FROM products"),
+    "fasta_records": (lambda spark, sf: fasta_text(_given(spark, sf)), rf"SELECT '>' || {_AMPLICON} || chr(9) || 'pos=' || original_start || '-' || original_end || chr(9) || 'strand=' || strand || chr(9) || 'len=' || full_length || chr(10) || rtrim(regexp_replace(sequence, '(.{{80}})', '\1' || chr(10), 'g'), chr(10)) AS value FROM products"),
+    "tsv_rows": (lambda spark, sf: tsv_columns(_given(spark, sf)), f"SELECT {_AMPLICON} AS amplicon_id, coalesce(reference_header, '') AS reference_id, coalesce(source_file, '') AS source_file, coalesce(primer_name, '') AS primer_name, length(sequence)::VARCHAR AS product_len, coalesce(full_length::VARCHAR, '') AS full_len, "
+        + ", ".join(f"coalesce({s}_start::VARCHAR, '') AS {s}_start, coalesce({s}_end::VARCHAR, '') AS {s}_end, coalesce({s}_mismatches::VARCHAR, '') AS {s}_mismatches, coalesce(format('{{:.4f}}', round_even({s}_identity, 4)), 'null') AS {s}_identity, coalesce({s}_cigar, '') AS {s}_cigar" for s in ("fwd", "rev"))
+        + ", coalesce(strand, '') AS strand, coalesce(is_circular_wrap::VARCHAR, '') AS is_circular_wrap, coalesce(sequence, '') AS product_seq FROM products"),
+    "count_by_primer": (lambda spark, sf: count_by(table(spark, sf, "products"), "primer_name"), "SELECT primer_name, count(*) AS n_products FROM products GROUP BY primer_name"),
+    "count_by_reference": (lambda spark, sf: count_by(table(spark, sf, "products"), "reference_header"), "SELECT reference_header, count(*) AS n_products FROM products GROUP BY reference_header"),
+    "summary_totals": (summary_totals, "SELECT (SELECT count(*) FROM sequences) AS total_sequences, (SELECT count(*) FROM primers) AS total_primers, (SELECT count(*) FROM products) AS total_products"),
+}
