@@ -164,7 +164,7 @@ def consolidate(deliveries: DataFrame, out: str, target_bytes: int = TARGET_BYTE
     for f in store.get_file_info(fs.FileSelector(root)):
         if f.type == fs.FileType.File and f.base_name not in keep and f.base_name.startswith(("part-", ".tmp-")):
             store.delete_file(f.path)
-    said = manifest.agg(F.count(F.lit(1)).alias("groups"), F.sum("n_files").alias("files"), F.sum("n_records").alias("records")).first().asDict() | {"manifest": f"_manifest-{run}"}
+    said = manifest.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("files"), F.coalesce(F.sum("n_records"), F.lit(0)).alias("records")).first().asDict() | {"manifest": f"_manifest-{run}"}
     with store.open_output_stream(f"{root}/.CURRENT-{run}") as f:
         f.write(json.dumps(said).encode())
     store.move(f"{root}/.CURRENT-{run}", f"{root}/CURRENT")

@@ -112,28 +112,30 @@ _RC = "reverse(translate(regexp_replace({0}, '[^" + LETTERS + "]', 'N', 'g'), '"
 _CODES = {"A": 1, "C": 2, "G": 4, "T": 8, "R": 5, "Y": 10, "S": 6, "W": 9, "K": 12, "M": 3, "B": 14, "D": 13, "H": 11, "V": 7, "N": 15}
 
 
-def _pattern_sql(column: str) -> str:
-    """SQL that makes a regular expression of a primer, letter by letter."""
-    whens = " ".join(f"WHEN '{c}' THEN '[{''.join(t for t, v in (*_CODES.items(), ('U', 8)) if v & b)}]'" for c, b in _CODES.items())
-    return f"array_to_string(list_transform(string_split({column}, ''), lambda c: CASE c {whens} END), '')"
+_CLASSES = ", ".join(f"('{c}', '{''.join(t for t, v in (*_CODES.items(), ('U', 8)) if v & b)}')" for c, b in _CODES.items())
+
+
+def _hits_sql(arm: str) -> str:
+    """Exact matches of an arm: for each letter the bits of the text that may be it, shifted by the letter's place and joined by AND."""
+    return f"""(SELECT rec_id, primer_idx, name, p AS a, p + m AS e, len FROM (
+  SELECT k.rec_id, l.primer_idx, l.name, l.m, k.len, bit_and(k.mask << CAST(l.i AS INTEGER)) AS b, unnest(range(0, k.len - l.m + 1)) AS p
+  FROM (SELECT primer_idx, name, length({arm}) AS m, unnest(string_split({arm}, '')) AS c, generate_subscripts(string_split({arm}, ''), 1) - 1 AS i FROM pr WHERE regexp_full_match({arm}, '[ACGTRYSWKMBDHVN]+')) l
+  JOIN masks k ON k.code = l.c WHERE k.len >= l.m GROUP BY k.rec_id, l.primer_idx, l.name, l.m, k.len HAVING bit_count(bit_and(k.mask << CAST(l.i AS INTEGER))) > 0) WHERE get_bit(b, CAST(p AS INTEGER)) = 1)"""
 
 
 #: Usable primers; exact matches of either arm; of neighbouring matches of a primer the last.
 _BASE = rf"""
-WITH pr AS (SELECT row_number() OVER (ORDER BY primer_idx, name) - 1 AS primer_idx, name, upper(trim(forward)) AS f, upper(trim(reverse)) AS v FROM primers),
+WITH pr AS (SELECT row_number() OVER (ORDER BY primer_idx, name) - 1 AS primer_idx, name, upper(trim(forward)) AS f, {_RC.format('upper(trim(reverse))')} AS v FROM primers),
 s AS (SELECT seq_id AS rec_id, upper(sequence) AS s, length(sequence) AS len FROM sequences WHERE length(sequence) > 0),
-pf AS (SELECT primer_idx, name, length(f) AS m, {_pattern_sql('f')} AS pat FROM pr WHERE regexp_full_match(f, '[ACGTRYSWKMBDHVN]+')),
-pv AS (SELECT primer_idx, length(v) AS m, {_pattern_sql(_RC.format('v'))} AS pat FROM pr WHERE regexp_full_match(v, '[ACGTRYSWKMBDHVN]+')),
-cf AS (SELECT rec_id, primer_idx, name, m, pat, len, s FROM s, pf WHERE regexp_matches(s, pat)),
-hf AS (SELECT rec_id, primer_idx, name, p AS a, p + m AS e, len FROM (SELECT *, unnest(range(0, len - m + 1)) AS p FROM cf) WHERE regexp_full_match(substr(s, CAST(p + 1 AS BIGINT), m), pat)),
-f AS (SELECT * FROM hf WHERE NOT EXISTS (SELECT 1 FROM hf n WHERE n.rec_id = hf.rec_id AND n.primer_idx = hf.primer_idx AND n.e = hf.e + 1))
+masks AS MATERIALIZED (SELECT rec_id, len, code, CAST(regexp_replace(regexp_replace(s, '[' || letters || ']', '1', 'g'), '[^1]', '0', 'g') AS BIT) AS mask FROM s, (VALUES {_CLASSES}) AS t(code, letters)),
+hf AS MATERIALIZED {_hits_sql('f')},
+f AS (SELECT rec_id, primer_idx, name, a, e, len FROM (SELECT *, lead(e) OVER (PARTITION BY rec_id, primer_idx ORDER BY e) AS nxt FROM hf) WHERE nxt IS NULL OR nxt <> e + 1)
 """
 MATCH_SQL = _BASE + "SELECT rec_id, CAST(primer_idx AS BIGINT) AS primer_idx, CAST(a AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", CAST(0 AS INTEGER) AS edit_distance, '+' AS strand, CAST(e - a AS VARCHAR) || '=' AS cigar, CAST(1.0 AS DOUBLE) AS identity FROM f"
 _PAIR = _BASE + rf""",
-cv AS (SELECT DISTINCT rec_id, primer_idx FROM f),
-hv AS (SELECT rec_id, primer_idx, p AS a, p + m AS e FROM (SELECT s.rec_id, pv.primer_idx, pv.m, pv.pat, s.s, unnest(range(0, s.len - pv.m + 1)) AS p FROM cv JOIN s ON s.rec_id = cv.rec_id JOIN pv ON pv.primer_idx = cv.primer_idx WHERE regexp_matches(s.s, pv.pat)) WHERE regexp_full_match(substr(s, CAST(p + 1 AS BIGINT), m), pat)),
+hv AS MATERIALIZED {_hits_sql('v')},
 j AS (SELECT f.rec_id, f.primer_idx, f.name, f.len, f.a AS fa, f.e AS fe, v.a AS va, v.e AS ve FROM f JOIN hv v ON v.rec_id = f.rec_id AND v.primer_idx = f.primer_idx AND v.a >= f.e AND v.e <= least(f.a + 2000, f.len)
-  WHERE NOT EXISTS (SELECT 1 FROM hv n WHERE n.rec_id = v.rec_id AND n.primer_idx = v.primer_idx AND n.e = v.e + 1 AND n.e <= least(f.a + 2000, f.len)) AND v.e - f.a BETWEEN 50 AND 2000),
+  LEFT JOIN hv n ON n.rec_id = v.rec_id AND n.primer_idx = v.primer_idx AND n.e = v.e + 1 AND n.e <= least(f.a + 2000, f.len) WHERE n.e IS NULL AND v.e - f.a BETWEEN 50 AND 2000),
 x AS (SELECT j.*, substr(s.s, CAST({{start}} + 1 AS BIGINT), CAST({{stop}} - {{start}} AS BIGINT)) AS sequence FROM j JOIN s ON s.rec_id = j.rec_id WHERE {{start}} < {{stop}})
 SELECT rec_id, CAST(primer_idx AS BIGINT) AS primer_idx, CAST(primer_idx AS BIGINT) AS rev_idx, name AS primer_name, sequence, CAST(ve - fa AS BIGINT) AS full_length, '+' AS strand, false AS is_circular_wrap,
   CAST({{start}} % len AS BIGINT) AS original_start, CAST({{stop}} % len AS BIGINT) AS original_end,
