@@ -125,8 +125,16 @@ def _worker(config: PcrConfig, hits: Callable[[list[str]], Found]):
     return go
 
 
+def _spread(recs: DataFrame) -> DataFrame:
+    """The records in enough partitions for all cores. Searching costs far more than moving a few files' records; where there are many files nothing is moved."""
+    if recs.isStreaming:
+        return recs
+    cores = recs.sparkSession.sparkContext.defaultParallelism
+    return recs.repartition(4 * cores, "rec_id") if recs.rdd.getNumPartitions() < 2 * cores else recs
+
+
 def _products(recs: DataFrame, config: PcrConfig, hits: Callable[[list[str]], Found]) -> DataFrame:
-    raw = recs.select(*RECORD).where(F.length("sequence") > 0).mapInArrow(_worker(config, hits), RAW_SQL)
+    raw = _spread(recs.select(*RECORD).where(F.length("sequence") > 0)).mapInArrow(_worker(config, hits), RAW_SQL)
     raw = raw.where(n_fraction("sequence") <= config.max_n_fraction)
     a, b = (F.col("fwd.end"), F.col("rev.start")) if config.trim_primers else (F.col("fwd.start"), F.col("rev.end"))
     a, b = original_pos(a, "len"), original_pos(b, "len")
@@ -148,8 +156,8 @@ def pair_products(recs: DataFrame, primers: Sequence[PrimerPair], config: PcrCon
     (start, end, edit_distance, strand, cigar, identity in what was searched: extended if circular, of the reverse
     complement for strand -), strand, is_circular_wrap, original_start, original_end. Length and wrap go by the span
     with primers, N content by the sequence given. Null and empty sequences and primers without both arms have no
-    products; repeated records have theirs each; other columns are ignored. Only a scan and projections: the
-    primers travel with the tasks, nothing is shuffled.
+    products; repeated records have theirs each; other columns are ignored. Only a scan and projections, the primers
+    travel with the tasks; records of too few files for all cores are spread first. Streams are not.
     """
     primers = list(primers)
     return _products(recs, config, lambda texts: _pair_hits(texts, primers, config))
@@ -180,4 +188,4 @@ def matches(recs: DataFrame, primers: Sequence[Primer], config: MatchConfig = Ma
             names = ["rec_id", "primer_idx", "primer_name", "start", "end", "edit_distance", "strand", "cigar", "identity"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], names=names)
 
-    return recs.where(F.length("sequence") > 0).select("rec_id", "sequence").mapInArrow(go, "rec_id bigint, primer_idx bigint, primer_name string, start bigint, end bigint, edit_distance int, strand string, cigar string, identity double")
+    return _spread(recs.where(F.length("sequence") > 0).select("rec_id", "sequence")).mapInArrow(go, "rec_id bigint, primer_idx bigint, primer_name string, start bigint, end bigint, edit_distance int, strand string, cigar string, identity double")
