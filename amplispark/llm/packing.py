@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from amplispark.llm.bpe import encode
+from amplispark.runtime import checkpointed, slices
 
 CAPACITY = 2048
 #: Bytes of text that one shard of the index holds on average.
@@ -17,6 +23,10 @@ K1, B = 1.2, 0.75
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Longer runs of letters (scripts without spaces, sequences) are indexed by parts of so many letters.
 PART = 12
+#: The least hashes of a text's terms, by which near texts come to the same shard.
+ROUTE = 3
+#: Texts looked at for each bound between shards.
+SAMPLE = 50
 
 
 def _terms(text: str) -> list[str]:
@@ -26,30 +36,48 @@ def _terms(text: str) -> list[str]:
     return out
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Instead of _text its size, the 64-bit hashes of its terms, how often each stands in it, and the least hashes as _route."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        for part in slices([batch], "_text"):
+            ids, times, routes = [], [], []
+            for text in part.column("_text").to_pylist():
+                own = _terms(text or "")
+                for t in own:
+                    if t not in known:
+                        known[t] = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                i, n = np.unique(np.array([known[t] for t in own], np.int64), return_counts=True)
+                ids.append(i)
+                times.append(n)
+                routes.append(i[:ROUTE].astype(">i8").tobytes())
+                if len(known) > 1_000_000:
+                    known.clear()
+            at = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x).astype(kind))) for x, kind in ((ids, np.int64), (times, np.int32))]
+            size = [64 + len(t.encode("utf-8", "surrogatepass")) if t else 64 for t in part.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("_id"), part.column("n_tokens"), pa.array(size, pa.int64()), pa.array(routes, pa.binary()), *lists], ["_id", "n_tokens", "_bytes", "_route", "_terms", "_times"])
+
+
 class Index:
-    """BM25 index of one shard: for each term the items that hold it and what it adds to their score."""
-
-    def __init__(self, texts: list[str]):
-        names: dict[str, int] = {}
-        terms, items, self.of = [], [], []
-        length = np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            own = np.array([names.setdefault(t, len(names)) for t in _terms(text)], np.int64)
-            length[i] = len(own)
-            ids, times = np.unique(own, return_counts=True)
-            self.of.append(ids)
-            terms.append(ids)
-            items.append(np.column_stack([np.full(len(ids), i), times]))
-        term = np.concatenate(terms) if terms else np.zeros(0, np.int64)
-        item = np.concatenate(items) if items else np.zeros((0, 2), np.int64)
+    """BM25 index of one shard: for each term the items that hold it and what it adds to their score.
+
+    How many texts hold a term (`df` of the sorted `known`), the number of texts and their mean length are those of the whole corpus.
+    """
+
+    def __init__(self, terms: list[np.ndarray], times: list[np.ndarray], known: np.ndarray, df: np.ndarray, texts: int, mean: float):
+        self.of = [np.searchsorted(known, t) for t in terms]
+        length = np.array([t.sum() for t in times], float)
+        term = np.concatenate([*self.of, np.zeros(0, np.int64)])
+        item = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
         order = np.argsort(term, kind="stable")
-        self.item, times = item[order, 0], item[order, 1]
-        df = np.bincount(term, minlength=len(names))
-        self.at = np.concatenate([[0], np.cumsum(df)])
-        idf = np.log1p((len(texts) - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * length / max(length.mean(), 1e-9)) if len(texts) else length
-        self.adds = np.repeat(idf, df) * times * (K1 + 1) / (times + norm[self.item])
-        self.n = len(texts)
+        self.item, times = item[order], np.concatenate([*times, np.zeros(0, np.int64)])[order]
+        here = np.bincount(term, minlength=len(known))
+        self.at = np.concatenate([[0], np.cumsum(here)])
+        idf = np.log1p((texts - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * length / max(mean, 1e-9))
+        self.adds = np.repeat(idf, here) * times * (K1 + 1) / (times + norm[self.item])
+        self.n = len(terms)
 
     def scores(self, i: int) -> np.ndarray:
         """Score of every item for item i as query."""
@@ -61,13 +89,12 @@ class Index:
         return np.bincount(self.item[at], self.adds[at], self.n)
 
 
-def fill(sizes: np.ndarray, texts: list[str], capacity: int) -> list[list[int]]:
+def fill(sizes: np.ndarray, index: Index, capacity: int) -> list[list[int]]:
     """Items (1 <= size <= capacity) in containers.
 
     The largest unused item seeds a container; its unused neighbours by BM25 are added, best first, while they fit;
     what room then remains is filled with the largest items that fit.
     """
-    index = Index(texts)
     order = np.argsort(-sizes, kind="stable")
     ascending = order[::-1]
     ranked = sizes[ascending]
@@ -109,21 +136,30 @@ def fill(sizes: np.ndarray, texts: list[str], capacity: int) -> list[list[int]]:
     return out
 
 
-def _pack(capacity: int):
-    def run(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
-        shard = shard.sort_values(["n_tokens", "_id", "_text"], ascending=[False, True, True], kind="stable")
+def _words(key: tuple, shard: pd.DataFrame) -> pd.DataFrame:
+    """The terms of a shard and how many of its texts hold each."""
+    ids, n = np.unique(np.concatenate([*shard["_terms"], np.zeros(0, np.int64)]).astype(np.int64), return_counts=True)
+    return pd.DataFrame({"_shard": key[0], "term": ids, "here": n})
+
+
+def _pack(capacity: int, texts: int, mean: float):
+    def run(key: tuple, shard: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        shard = shard.assign(_tie=[t.tobytes() + n.tobytes() for t, n in zip(shard["_terms"], shard["_times"])])
+        shard = shard.sort_values(["n_tokens", "_id", "_tie"], ascending=[False, True, True], kind="stable")
+        words = words.sort_values("term")
         base = int(key[0]) << 32
         rows: list[tuple] = []
         items, boxes = [], 0
-        for doc, n, text in zip(shard["_id"].tolist(), shard["n_tokens"].tolist(), shard["_text"].tolist()):
+        for doc, n, terms, times in zip(shard["_id"].tolist(), shard["n_tokens"].tolist(), shard["_terms"], shard["_times"]):
             full = n // capacity if n > capacity else 0
             for p in range(full):
                 rows.append((base + boxes, 0, doc, p, p * capacity, (p + 1) * capacity))
                 boxes += 1
             if n - full * capacity or not n:
-                items.append((doc, full, full * capacity, n, text or ""))
+                items.append((doc, full, full * capacity, n, terms, times))
         solid = [x for x in items if x[3] > x[2]]
-        for box in fill(np.array([x[3] - x[2] for x in solid], np.int64), [x[4] for x in solid], capacity):
+        index = Index([x[4] for x in solid], [x[5] for x in solid], words["term"].to_numpy(np.int64), words["df"].to_numpy(np.int64), texts, mean)
+        for box in fill(np.array([x[3] - x[2] for x in solid], np.int64), index, capacity):
             for slot, i in enumerate(box):
                 rows.append((base + boxes, slot, *solid[i][:4]))
             boxes += 1
@@ -134,6 +170,33 @@ def _pack(capacity: int):
     return run
 
 
+def placed(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """_id, n_tokens, _bytes, _route, _terms, _times and _shard of each text.
+
+    Shards are ranges of the least hashes of a text's terms, which are the same in texts with many terms in common
+    (min-hash); what has the same ones (copies, say) lies in neighbouring ranges by a hash of the id. The bounds
+    come from a fixed sample and cut it into equal shares of bytes, so that no source or language makes a large shard.
+    """
+    sized = encode(texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", path, carry=("_text",), counts=True)
+    kind = texts.schema[id_col].dataType.simpleString()
+    sized = checkpointed(sized.select("_id", F.col("n_tokens").cast("bigint"), "_text").mapInArrow(_hashed, f"_id {kind}, n_tokens bigint, _bytes bigint, _route binary, _terms array<bigint>, _times array<int>"))
+    n, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    shards = max(1, -(-int(total) // SHARD_BYTES))
+    every = max(1, n // (shards * SAMPLE))
+    route = F.concat("_route", F.unhex(F.lpad(F.hex(F.xxhash64("_id")), 16, "0")))
+    bounds: list[bytes] = []
+    if shards > 1:
+        seen = sorted((bytes(r[0]), r[1]) for r in sized.where(F.pmod(F.xxhash64(F.lit(1), "_id", "_route"), F.lit(every)) == 0).select(route, "_bytes").toLocalIterator())
+        upto = np.cumsum([b for _, b in seen])
+        bounds = [seen[min(int(np.searchsorted(upto, upto[-1] * k / shards)), len(seen) - 1)][0] for k in range(1, shards)] if seen else []
+
+    @F.pandas_udf("bigint")
+    def shard(at: pd.Series) -> pd.Series:
+        return at.map(lambda x: bisect_right(bounds, bytes(x))).astype("int64")
+
+    return sized.withColumn("_shard", shard(route))
+
+
 def pack(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Every text in a container of at most `capacity` tokens: container_id, slot, doc_id, piece_no, token_start, token_end.
 
@@ -141,13 +204,15 @@ def pack(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", capac
     others. Empty and null texts have no tokens and stand in their shard's last container. Repeated rows are packed
     once each, an empty table gives no rows, other columns are ignored.
 
-    The texts are spread over shards by hash, so that no source or language makes a large one; a shard holds about
+    Scores are those of the whole corpus, but a text's neighbours are looked for in its shard only. A shard holds about
     SHARD_BYTES of text whatever the size of the corpus, and leaves at most a few containers unfilled.
     """
-    total = texts.agg(F.coalesce(F.sum(F.octet_length(text_col) + 64), F.lit(0))).first()[0] or 0
-    shards = max(1, -(-int(total) // SHARD_BYTES))
-    sized = encode(texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", path, carry=("_text",), counts=True)
-    shard = F.pmod(F.xxhash64("_id", "_text"), F.lit(shards))
+    at = placed(texts, id_col, text_col, path)
     kind = texts.schema[id_col].dataType.simpleString()
-    out = sized.withColumn("_shard", shard).groupBy("_shard").applyInPandas(_pack(capacity), f"container_id bigint, slot bigint, doc_id {kind}, piece_no bigint, token_start bigint, token_end bigint")
+    held = at.where(F.col("n_tokens") % capacity != 0)
+    n, length = held.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.aggregate("_times", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.lit(0))).first()
+    words = held.select("_shard", "_terms").groupBy("_shard").applyInPandas(_words, "_shard bigint, term bigint, here bigint")
+    words = words.withColumn("df", F.sum("here").over(Window.partitionBy("term")))
+    out = at.select("_shard", "_id", "n_tokens", "_terms", "_times").groupBy("_shard").cogroup(words.select(F.col("_shard").alias("_of"), "term", "df").groupBy("_of"))
+    out = out.applyInPandas(_pack(capacity, n, length / max(n, 1)), f"container_id bigint, slot bigint, doc_id {kind}, piece_no bigint, token_start bigint, token_end bigint")
     return out.withColumnRenamed("doc_id", id_col)

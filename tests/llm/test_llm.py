@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from amplispark.llm import similar, spans
+from amplispark.llm import packing, similar, spans
 from amplispark.llm.bpe import Bpe, encode, vocabulary
 from amplispark.llm.packing import pack
 from amplispark.llm.pieces import cuts, split_oversized
@@ -162,6 +162,39 @@ def test_packing(spark):
     assert pack(df.limit(0)).count() == 0
 
 
+def test_packing_over_shards(spark, monkeypatch):
+    rng = random.Random(12)
+    topics = [["".join(rng.choices("abcdefgh", k=7)) for _ in range(30)] for _ in range(8)]
+    texts = [" ".join(rng.choices(topics[i % 8], k=60)) for i in range(400)]
+    texts += texts[:40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(packing, "SHARD_BYTES", 20_000)
+    given = []
+    monkeypatch.setattr(packing, "_pack", lambda *a, run=packing._pack: given.append(a) or run(*a))
+    rows = pack(df, capacity=1024).collect()
+    assert len({r["container_id"] >> 32 for r in rows}) >= 8
+    # the statistics are those of the corpus, whatever the shards
+    assert given == [(1024, len(texts), sum(len(packing._terms(t)) for t in texts) / len(texts))]
+    at = {r["doc_id"]: r["container_id"] for r in rows if r["piece_no"] == 0}
+    shard = {d: c >> 32 for d, c in at.items()}
+    assert sorted(at) == list(range(len(texts)))
+    # two texts of a topic (copies among them) meet in a shard far more often than by chance
+    near = [(i, j) for i in range(440) for j in range(i) if i % 8 == j % 8]
+    far = [(i, j) for i in range(440) for j in range(i) if i % 8 != j % 8]
+    met = [sum(shard[i] == shard[j] for i, j in pairs) / len(pairs) for pairs in (near, far)]
+    assert met[0] > 3 * met[1]
+    assert sum(shard[i] == shard[400 + i] for i in range(40)) >= 30
+
+
+def test_index_of_a_shard_scores_as_that_of_the_corpus():
+    ids = [np.array([1, 5, 9]), np.array([5, 9]), np.array([2, 9]), np.array([1, 2])]
+    times = [np.array([2, 1, 1]), np.array([1, 3]), np.array([1, 1]), np.array([4, 1])]
+    known, df, mean = np.array([1, 2, 5, 9]), np.array([2, 2, 2, 3]), sum(t.sum() for t in times) / 4
+    whole = packing.Index(ids, times, known, df, 4, mean).scores(0)
+    part = packing.Index(ids[:2], times[:2], known[[0, 2, 3]], df[[0, 2, 3]], 4, mean).scores(0)
+    assert np.allclose(part, whole[:2]) and whole[3] > 0
+
+
 CASES = {
     "en": ["It fell to 8.18… but stayed.", "Dr. A. Nobel saw 3.5 µl (see Fig. 4).", "“Is it circular?” asked the reviewer.", "The U.S. kit, e.g. for gels, etc. was fine...", "Really?!", "(It was not.)", "qPCR gave 4.", "Then \"Run it!\" was said."],
     "de": ["Am 3. Mai lief z. B. Nr. 4 gut.", "Der 2. Lauf ergab 5, vgl. Abb. 4.", "„Das Gel ist leer“, sagte sie."],
