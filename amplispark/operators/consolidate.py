@@ -19,7 +19,7 @@ from amplispark.runtime import checkpointed, slices, work_dir
 TARGET_BYTES = 8_000_000
 #: What a file weighs beside its bytes, so that empty files are spread too.
 FILE_WEIGHT = 64
-#: Output groups that one heap fills. It bounds a scheduling task: about 32 x 8 MB of small files.
+#: Output groups that one heap fills at most. It bounds a scheduling task: about 32 x 8 MB of small files.
 GROUPS_A_SHARD = 32
 RECORDS = pa.schema([("source_file", pa.string()), ("record_idx", pa.int64()), ("header", pa.string()), ("description", pa.string()), ("sequence", pa.string())])
 MANIFEST = "grp bigint, path string, n_files bigint, n_records bigint, n_bytes bigint"
@@ -53,11 +53,11 @@ def latest(deliveries: DataFrame) -> DataFrame:
     return deliveries.groupBy("source_file").agg(F.max_by("content", rank).alias("content"), F.max(rank).getField("n_bytes").cast("bigint").alias("n_bytes"))
 
 
-def _schedule(groups: int):
+def _schedule(groups: int, shards: int):
     def fill(shard: pd.DataFrame) -> pd.DataFrame:
         """Longest first, each file to the group with the least load."""
-        first = int(shard["_shard"].iloc[0]) * GROUPS_A_SHARD
-        heap = [(0, g) for g in range(first, min(first + GROUPS_A_SHARD, groups))]
+        s = int(shard["_shard"].iloc[0])
+        heap = [(0, g) for g in range(s * groups // shards, (s + 1) * groups // shards)]
         heapq.heapify(heap)
         shard = shard.sort_values(["n_bytes", "source_file"], ascending=[False, True], kind="stable")
         to = []
@@ -78,8 +78,10 @@ def schedule(sizes: DataFrame, target_bytes: int = TARGET_BYTES) -> tuple[DataFr
     total = sizes.agg(F.coalesce(F.sum(F.col("n_bytes") + FILE_WEIGHT), F.lit(0))).first()[0]
     groups = max(1, -(-total // target_bytes))
     shards = -(-groups // GROUPS_A_SHARD)
-    shard = F.pmod(F.xxhash64("source_file"), F.lit(shards))
-    plan = sizes.select("source_file", "n_bytes", shard.alias("_shard")).groupBy("_shard").applyInPandas(_schedule(groups), "source_file string, n_bytes bigint, grp bigint")
+    # a file goes to the shard of a group picked by hash, so that a shard's share of the files is its share of the groups
+    picked = F.pmod(F.xxhash64("source_file"), F.lit(groups))
+    shard = F.floor(((picked + 1) * shards - 1) / F.lit(groups)).cast("bigint")
+    plan = sizes.select("source_file", "n_bytes", shard.alias("_shard")).groupBy("_shard").applyInPandas(_schedule(groups, shards), "source_file string, n_bytes bigint, grp bigint")
     return plan, groups
 
 

@@ -47,6 +47,16 @@ def test_schedule_is_longest_first(spark):
     assert groups == 3 and sorted(got) == sorted(loads)
 
 
+def test_schedule_of_several_shards_is_balanced(spark):
+    for groups, files in ((33, 6600), (70, 14000)):
+        df = spark.range(files).selectExpr("concat('f', id) AS source_file", "900 + id % 73 AS n_bytes")
+        total = df.selectExpr(f"sum(n_bytes + {con.FILE_WEIGHT})").first()[0]
+        plan, n = con.schedule(df, -(-total // groups))
+        loads = [r["load"] for r in plan.groupBy("grp").agg({"n_bytes": "sum"}).toDF("grp", "load").collect()]
+        assert n == groups == len(loads) and plan.count() == files
+        assert max(loads) <= 1.25 * sum(loads) / groups
+
+
 def lines_frame(spark, rows):
     return spark.createDataFrame([(i, no, x, "clash") for i, (no, x) in enumerate(rows)], "line_id bigint, line_no bigint, line string, name string")
 
