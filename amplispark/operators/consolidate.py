@@ -174,8 +174,13 @@ def consolidate(deliveries: DataFrame, out: str, target_bytes: int = TARGET_BYTE
 
 
 def read_consolidated(spark: SparkSession, out: str) -> DataFrame:
-    """The published records: source_file, record_idx, header (first word), description, sequence."""
-    return spark.read.schema("source_file string, record_idx bigint, header string, description string, sequence string").parquet(out, pathGlobFilter="part-*.parquet")
+    """The published records: source_file, record_idx, header (first word), description, sequence.
+
+    Only the files that the published manifest names are read, whatever else stands in the folder.
+    """
+    kind = "source_file string, record_idx bigint, header string, description string, sequence string"
+    paths = [f"{out}/{r['path']}" for r in read_manifest(spark, out).select("path").toLocalIterator()]  # a name for each output file
+    return spark.read.schema(kind).parquet(*sorted(paths)) if paths else spark.createDataFrame([], kind)
 
 
 def read_manifest(spark: SparkSession, out: str) -> DataFrame:

@@ -33,6 +33,14 @@ def test_consolidate(spark, tmp_path):
     assert said["files"] == 0 and con.read_manifest(spark, out).count() == 0 and con.read_consolidated(spark, out).count() == 0
 
 
+def test_only_files_of_the_manifest_are_read(spark, tmp_path):
+    df = inbox(spark, [(1, "a.fa", ">x\nAC\n>y\nG", T0), (2, "b.fa", ">z\nT", T0)])
+    con.consolidate(df, out := f"file://{tmp_path}/c")
+    (part,) = (tmp_path / "c").glob("part-*.parquet")
+    (tmp_path / "c" / "part-00000000-late.parquet").write_bytes(part.read_bytes())  # a second attempt, renamed late
+    assert sorted(r["header"] for r in con.read_consolidated(spark, out).collect()) == ["x", "y", "z"]
+
+
 def test_schedule_is_longest_first(spark):
     sizes = [700, 600, 500, 400, 300, 200, 100, 0]
     df = spark.createDataFrame([(f"f{i}", s) for i, s in enumerate(sizes)], "source_file string, n_bytes bigint")
