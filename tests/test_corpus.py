@@ -84,6 +84,15 @@ def test_reasons(spark):
     assert parse_primer_lines(df.limit(0)).count() == 0
 
 
+def test_offsets_of_reasons(spark):
+    cases = {
+        "a,ACG": 5, "é,": 2, "a,,TTT": 2, 'é," ",TTT': 2, ",,": 0, "a,ACG, ": 6, "a,ACX,TTT": 4, 'é," A""G",T': 5, "a,ACG,\tTT\u00e9": 9, 'a, " XA" ,T': 5, "a,A C,T": 3,
+        '"é",ACG,"TTT': 8, 'a"b,ACG,TTT': 1, '"é"b,ACG,TTT': 3, '"a""b,ACG,TTT': 0, 'a,ACG,"T" x"': 10, '"a"\n,ACG,TTT': 3, "x" * 300 + ',ACG,"' + "y" * 300: 305, "a,ACG,TTT": None,
+    }
+    df = lines_frame(spark, [(2, x) for x in cases])
+    assert {r["line_id"]: r["offset"] for r in parse_primer_lines(df).collect()} == dict(enumerate(cases.values()))
+
+
 def test_scan_of_long_rows_against_csv():
     rng = random.Random(3)
     rows = []
