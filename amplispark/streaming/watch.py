@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from amplispark.config import PcrConfig
-from amplispark.functions.dna import ascii_upper
+from amplispark.functions.dna import FASTA_EXTENSIONS, ascii_upper
 from amplispark.operators.products import pair_products
 from amplispark.sources.primers import PrimerPair
 
+#: The plain FASTA files of a folder, in either case.
+PLAIN_FASTA = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in FASTA_EXTENSIONS) + "}"
+
 
 def arriving_records(spark: SparkSession, folder: str, files_a_batch: int = 100) -> DataFrame:
     """A stream of records of the plain FASTA files in a folder: rec_id, source_file, header, sequence.
@@ -20,7 +23,7 @@ def arriving_records(spark: SparkSession, folder: str, files_a_batch: int = 100)
     Spark's text source divides files at line starts with >, so no Python is needed. rec_id is a hash of file and
     record, as a stream has no order of files. What stands before a file's first > is dropped.
     """
-    text = spark.readStream.format("text").option("lineSep", "\n>").option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", "*.f*a").load(folder)
+    text = spark.readStream.format("text").option("lineSep", "\n>").option("maxFilesPerTrigger", files_a_batch).option("pathGlobFilter", PLAIN_FASTA).load(folder)
     parts = text.select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("raw"), F.col("_metadata.file_block_start").alias("at"))
     clean = F.regexp_replace("raw", "\r", "")
     body = F.regexp_replace(clean, "^>", "")

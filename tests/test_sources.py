@@ -119,3 +119,15 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in" / "a.fa").write_text(">r1 x\nAAAACGTAA\nAATGCATTTT\n>r2\nGGGG\n>r3\naaaacgtaaaatgcatttt\n")
     watch(spark, str(tmp_path / "in"), [PrimerPair("p", "ACGT", "TGCA")], str(tmp_path / "out"), str(tmp_path / "cp"), PcrConfig(MatchConfig(0), 12, 12)).awaitTermination(60)
     assert {r["reference_header"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"r1", "r3"}
+
+
+def test_stream_takes_each_fasta_extension(spark, tmp_path):
+    from amplispark.functions.dna import FASTA_EXTENSIONS
+    from amplispark.streaming.watch import arriving_records
+
+    names = [f"x{i}.{e}" for i, e in enumerate(FASTA_EXTENSIONS)] + ["y.FASTA", "y.Ffn", "a.b.fas"]
+    for name in [*names, "z.txt", "z.fa.gz", "z.fma", "zfa"]:
+        (tmp_path / name).write_text(f">{name}\nACGT\n")
+    stream = arriving_records(spark, str(tmp_path)).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
+    stream.awaitTermination(60)
+    assert sorted(r["header"] for r in spark.table("arrived").collect()) == sorted(names)
