@@ -110,3 +110,24 @@ def test_numbers_follow_a_total_order(spark, pool):
         found = pair_products(df, [PrimerPair("a", F16, R16), PrimerPair("b", R16, F16)], PcrConfig(MatchConfig(0, search_rc=True)))
     got = [(r["rec_id"], r["strand"], r["primer_name"]) for r in finalize(found, pool=pool).orderBy("case_number").collect()]
     assert len(got) == 8 and [g[0] for g in got] == sorted(g[0] for g in got)
+
+
+def test_length_bounds_against_sql(spark):
+    """The query pair_len_filter with bounds of its own on both sides, which those of pair_linear are not."""
+    import duckdb
+
+    from amplispark.plans import pcr
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("sequences", "primers"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    bounds = {}
+    for low, high in ((50, 2000), (150, 2000), (50, 400), (150, 400)):
+        sql = pcr.PAIR_SQL.replace("BETWEEN 50 AND 2000", f"BETWEEN {low} AND {high}").replace("f.a + 2000", f"f.a + {high}")
+        df = pcr._pair(min_len=low, max_len=high)(spark, sf)
+        got = sorted(tuple(map(str, r)) for r in df.collect())
+        want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
+        assert got == sorted(tuple(map(str, r)) for r in want)
+        bounds[low, high] = len(got)
+    assert bounds[150, 400] < min(bounds[150, 2000], bounds[50, 400]) and max(bounds[150, 2000], bounds[50, 400]) < bounds[50, 2000]
