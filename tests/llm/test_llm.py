@@ -34,11 +34,13 @@ def family(rng, n):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 18, 40])
-def test_similar_pairs_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(similar, "BLOCK", block)
+@pytest.mark.parametrize("held", [1 << 19, 10])
+def test_similar_pairs_against_brute_force(spark, monkeypatch, held):
+    monkeypatch.setattr(similar, "HELD", held)
+    monkeypatch.setattr(similar, "COPIES", 3)
     rng = random.Random(5)
-    seqs = family(rng, 160) + ["Ω中文字符串测试用例" * 2, "Ω中文字符串测试用例" * 2 + "x", None, "", "AC"]
+    long = dna(rng, 3000)
+    seqs = family(rng, 160) + [long, mutate(rng, long, 60), "protein sequences " * 3, "some protein sequences " * 3] + ["Ω中文字符串测试用例" * 2, "Ω中文字符串测试用例" * 2 + "x", None, "", "AC"]
     rows = [(i, rng.choice(["k1", "k1", "k2", None]), s, "clash") for i, s in enumerate(seqs)]
     rows.append(rows[0])
     df = spark.createDataFrame(rows, "pid bigint, k string, s string, key string")
@@ -54,6 +56,49 @@ def test_similar_pairs_against_brute_force(spark, monkeypatch, block):
     assert similar_pairs(df.limit(0), "pid", "k", "s").count() == 0
 
 
+def parts_of(texts):
+    row, small, row_o, odd = similar.shingles(texts)
+    few, many = (np.bincount(r, minlength=len(texts)) for r in (row, row_o))
+    owner, rank, place, _ = similar._merged(few, many, small, odd)
+    return few + many, owner, rank, place
+
+
+@pytest.mark.parametrize("deep", [1 << 18, 0])
+def test_similar_sets_of_all_sizes(monkeypatch, deep):
+    monkeypatch.setattr(similar, "DEEP", deep)
+    rng = random.Random(15)
+    for letters, t in (("ACGT", 0.5), ("ACGTn", 0.5), ("abcdefgh ", 0.8), ("AC", 0.3)):
+        texts = []
+        for size in (8, 9, 10, 12, 20, 40, 70, 150, 300, 700, 2500):
+            base = dna(rng, size, letters)
+            texts += [base, *(mutate(rng, base, rng.randint(1, 1 + size // 12)) for _ in range(4)), base[: size * 2 // 3], base[size // 2 :] + base[: size // 2]]
+        texts = [x for x in texts if len(x) >= 8]
+        sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in texts]
+        want = {(j, i) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-12}
+        got = {(min(a, b), max(a, b)) for u, v in similar.similar_sets(*parts_of(texts), t) for a, b in zip(u.tolist(), v.tolist())}
+        assert want <= got and len(got) < 2 * len(want)
+
+
+def test_answers_of_near_sets_are_derived():
+    rng = random.Random(16)
+    base = dna(rng, 1000)
+    seen = {}
+    pairs = [p for p in similar.similar_sets(*parts_of([base, *(mutate(rng, base, 1) for _ in range(100))]), seen=seen)]
+    assert seen["computed"] < seen["parts"] / 3
+    assert len({(min(a, b), max(a, b)) for u, v in pairs for a, b in zip(u.tolist(), v.tolist())}) == 101 * 100 // 2
+
+
+def test_visits_of_one_key_grow_slowly():
+    rng = np.random.default_rng(17)
+    computed = []
+    for n in (2000, 4000):
+        texts = ["".join(x) for x in np.array(list("ACGT"))[rng.integers(0, 4, (n, 260))]]
+        seen = {}
+        assert sum(len(u) for u, _ in similar.similar_sets(*parts_of(texts), seen=seen)) == 0
+        computed.append(seen["visits"])
+    assert computed[1] < 6 * computed[0] and computed[1] < 4000 * 4000 / 2 * 0.1
+
+
 @pytest.mark.parametrize("hot", [20_000, 0])
 def test_shared_spans_against_brute_force(spark, hot):
     rng = random.Random(6)
