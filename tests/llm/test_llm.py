@@ -34,8 +34,9 @@ def family(rng, n):
     return out
 
 
-@pytest.mark.parametrize("held", [1 << 19, 10])
-def test_similar_pairs_against_brute_force(spark, monkeypatch, held):
+@pytest.mark.parametrize("few, held", [(1 << 12, 1 << 19), (1, 1 << 19), (1, 10)])
+def test_similar_pairs_against_brute_force(spark, monkeypatch, few, held):
+    monkeypatch.setattr(similar, "FEW", few)
     monkeypatch.setattr(similar, "HELD", held)
     monkeypatch.setattr(similar, "COPIES", 3)
     rng = random.Random(5)
