@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from amplispark.operators.consolidate import consolidate, consolidated, read_manifest
+from amplispark.operators.consolidate import consolidated, read_consolidated, read_manifest
 from amplispark.operators.numbering import key_summary, misnumbered
 from amplispark.operators.rowparse import parse_primer_lines
-from amplispark.runtime import table, work_dir
+from amplispark.runtime import table
 from pyspark.sql import functions as F
 
 P2_SQL = r"""
@@ -16,6 +16,11 @@ r AS (SELECT source_file, unnest(hs) AS h, generate_subscripts(hs, 1) - 1 AS rec
 SELECT source_file, CAST(record_idx AS BIGINT) AS record_idx, coalesce(regexp_extract(h, '^>\s*(\S+)', 1), '') AS header FROM r
 """
 
+P2_TOTALS_SQL = r"""
+WITH c AS (SELECT coalesce(content, '') AS content, row_number() OVER (PARTITION BY source_file ORDER BY landed_at DESC NULLS LAST, file_id DESC NULLS LAST) AS rn FROM inbox_files)
+SELECT CAST(count(*) AS BIGINT) AS n_files, CAST(sum(len(regexp_extract_all(content, '(?:^|\n)\x{FEFF}?(>)'))) AS BIGINT) AS n_records, CAST(sum(strlen(content)) AS BIGINT) AS n_bytes FROM c WHERE rn = 1
+"""
+
 #: A field: quoted with only blanks around it, or without any quote sign.
 _FIELD = r"""(?:[ \t]*"(?:[^"]|"")*"[ \t\r]*|[^",]*)"""
 _VALUE = r"""trim(CASE WHEN regexp_full_match({0}, '[ \t]*"(?:[^"]|"")*"[ \t\r]*') THEN replace(regexp_extract({0}, '"((?:[^"]|"")*)"', 1), '""', '"') ELSE {0} END, chr(32) || chr(9) || chr(13) || chr(10))"""
@@ -40,13 +45,16 @@ FROM products GROUP BY ALL
 
 
 def p2_found(spark, sf):
-    return consolidated(table(spark, sf, "inbox_files")).select("source_file", "record_idx", "header")
+    return read_consolidated(spark, consolidated(table(spark, sf, "inbox_files"))[0]).select("source_file", "record_idx", "header")
 
 
 def p2_manifest(spark, sf):
-    out = work_dir(spark, "consolidated")
-    consolidate(table(spark, sf, "inbox_files"), out)
-    return read_manifest(spark, out).select("grp", "n_files", "n_records", "n_bytes")
+    return read_manifest(spark, consolidated(table(spark, sf, "inbox_files"))[0]).select("grp", "n_files", "n_records", "n_bytes")
+
+
+def p2_totals(spark, sf):
+    sums = [F.sum(c).alias(c) for c in ("n_files", "n_records", "n_bytes")]
+    return p2_manifest(spark, sf).agg(*sums)
 
 
 def p4_found(spark, sf):
@@ -68,6 +76,7 @@ def p5_keys(spark, sf):
 QUERIES = {
     "p2_found": (p2_found, P2_SQL),
     "p2_manifest": (p2_manifest, None),
+    "p2_totals": (p2_totals, P2_TOTALS_SQL),
     "p4_found": (p4_found, P4_PARSED + "SELECT line_id, reason FROM p WHERE reason IS NOT NULL"),
     "p4_loaded": (p4_loaded, P4_PARSED + "SELECT line_id, v1 AS name, v2 AS forward, v3 AS reverse FROM p WHERE reason IS NULL"),
     "p5_found": (p5_found, P5_SQL),

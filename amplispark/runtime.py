@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
     return here.rstrip("/")
 
 
-def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder's name under the shared folder."""
+def named_dir(spark: SparkSession, name: str) -> str:
+    """The URI of a folder of that name under the shared folder."""
     base = shared_dir(spark)
     base = base if "://" in base else f"{base[:5]}//{base[5:]}" if base.startswith("file:") else f"file://{base}"
-    return f"{base}/{what}-{uuid.uuid4().hex}"
+    return f"{base}/{name}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 
 from amplispark.automaton import CHUNK
 from amplispark.operators import consolidate as con
@@ -28,17 +29,66 @@ def test_consolidate(spark, tmp_path):
     got = sorted((r["source_file"] or "", r["record_idx"], r["header"], r["sequence"]) for r in con.read_consolidated(spark, out).collect())
     want = sorted([("a.fa", 0, "x2", "AC"), ("a.fa", 1, "z", "G"), ("d.fa", 0, "d", ""), ("", 0, "n", "A"), *(("big.fa", i, f"b{i}", "ACGT") for i in range(500))])
     assert got == want and said["files"] == 6 and said["records"] == len(want)
-    assert {f.name[:5] for f in (tmp_path / "c").iterdir() if not f.name.startswith(("_", ".", "CURRENT"))} == {"part-"}
+    assert said["bytes"] == sum(len((c or "").encode()) for c in (rows[1][2], None, "", rows[5][2], ">n\nA", big))
     said = con.consolidate(df.limit(0), out := f"file://{tmp_path}/e")
     assert said["files"] == 0 and con.read_manifest(spark, out).count() == 0 and con.read_consolidated(spark, out).count() == 0
 
 
+def heads(spark, out):
+    return sorted(r["header"] for r in con.read_consolidated(spark, out).collect())
+
+
 def test_only_files_of_the_manifest_are_read(spark, tmp_path):
     df = inbox(spark, [(1, "a.fa", ">x\nAC\n>y\nG", T0), (2, "b.fa", ">z\nT", T0)])
     con.consolidate(df, out := f"file://{tmp_path}/c")
-    (part,) = (tmp_path / "c").glob("part-*.parquet")
-    (tmp_path / "c" / "part-00000000-late.parquet").write_bytes(part.read_bytes())  # a second attempt, renamed late
-    assert sorted(r["header"] for r in con.read_consolidated(spark, out).collect()) == ["x", "y", "z"]
+    (part,) = (tmp_path / "c").glob("run-*/part-*.parquet")
+    (part.parent / "part-00000000-late.parquet").write_bytes(part.read_bytes())  # a second attempt, renamed late
+    assert heads(spark, out) == ["x", "y", "z"]
+
+
+@pytest.mark.parametrize("step", ["_write", "_verify", "_publish", "_remove"])
+def test_run_that_dies_at_any_step(spark, tmp_path, monkeypatch, step):
+    out = f"file://{tmp_path}/c"
+    for i in range(2):
+        con.consolidate(inbox(spark, [(1, "a.fa", f">old{i}\nAC", T0)]), out)
+    fresh = inbox(spark, [(1, "a.fa", ">new\nAC", T0)])
+    for after in (False, True):
+        with monkeypatch.context() as m:
+            whole = getattr(con, step)
+
+            def dies(*args):
+                if after:
+                    whole(*args)
+                raise RuntimeError("lost")
+
+            m.setattr(con, step, dies)
+            with pytest.raises(RuntimeError):
+                con.consolidate(fresh, out)
+        published = step == "_remove" or (step == "_publish" and after)
+        assert heads(spark, out) == ["new" if published else "old1"]
+    con.consolidate(fresh, out)
+    assert heads(spark, out) == ["new"]
+    con.sweep(out)
+    assert heads(spark, out) == ["new"] and len(list((tmp_path / "c").glob("run-*"))) == 2
+
+
+def test_run_that_lost_records_is_not_published(spark, tmp_path, monkeypatch):
+    out = f"file://{tmp_path}/c"
+    con.consolidate(inbox(spark, [(1, "a.fa", ">old\nAC", T0)]), out)
+    schema = con._verify
+    wrong = lambda manifest, plan, sizes: schema(manifest.withColumn("n_records", manifest["n_records"] - 1), plan, sizes)
+    monkeypatch.setattr(con, "_verify", wrong)
+    with pytest.raises(OSError):
+        con.consolidate(inbox(spark, [(1, "a.fa", ">new\nAC", T0)]), out)
+    assert heads(spark, out) == ["old"]
+
+
+def test_reader_of_the_run_before_is_not_disturbed(spark, tmp_path):
+    out = f"file://{tmp_path}/c"
+    con.consolidate(inbox(spark, [(1, "a.fa", ">old\nAC", T0)]), out)
+    reader = con.read_consolidated(spark, out)
+    con.consolidate(inbox(spark, [(1, "a.fa", ">new\nAC", T0)]), out)
+    assert [r["header"] for r in reader.collect()] == ["old"] and heads(spark, out) == ["new"]
 
 
 def test_schedule_is_longest_first(spark):
