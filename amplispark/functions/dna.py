@@ -83,7 +83,7 @@ def amplicon_id(header: Column | str, primer: Column | str, strand: Column | str
 
 def identity_text(c: Column | str) -> Column:
     """Four decimals, ties to even."""
-    return F.format_string("%.4f", F.bround(_col(c), 4))
+    return F.when(_col(c).isNotNull(), F.format_string("%.4f", F.bround(_col(c), 4)))
 
 
 def wrapped(c: Column | str, width: int = WIDTH) -> Column:

@@ -6,12 +6,13 @@ from amplispark.config import MatchConfig, PcrConfig
 from amplispark.functions import dna
 from amplispark.operators.finalize import count_by, dedup, finalize, flattened, number, number_per_call
 from amplispark.operators.products import matches, pair_products, pool_products, records
+from amplispark.plans import oracle
 from amplispark.runtime import table
 from amplispark.sources.primers import Primer, pairs_of, pool_of
 from amplispark.sources.writers import fasta_text, tsv_columns
 from pyspark.sql import functions as F
 
-LETTERS, COMPLEMENTS = dna.LETTERS, dna.COMPLEMENTS
+_RC = oracle.RC
 
 
 def _recs(spark, sf):
@@ -26,8 +27,10 @@ def _pool(spark, sf):
     return pool_of(table(spark, sf, "pool_primers"))
 
 
-def _fwd(spark, sf):
-    return [Primer(p.name, p.forward) for p in _pairs(spark, sf)]
+def _arms(spark, sf):
+    """Every primer there is: the forward arms of the pairs, then their reverse arms, then the pool."""
+    pairs = _pairs(spark, sf)
+    return [Primer(p.name, p.forward) for p in pairs] + [Primer(p.name, p.reverse) for p in pairs] + _pool(spark, sf)
 
 
 def _config(k=0, rc=False, identity=0.0, **more):
@@ -46,11 +49,17 @@ def _out(df):
 
 
 def _pair(**config):
-    return lambda spark, sf: _out(pair_products(_recs(spark, sf), _pairs(spark, sf), _config(**config)))
+    """A query of pairs and its SQL."""
+    return lambda spark, sf: _out(pair_products(_recs(spark, sf), _pairs(spark, sf), _config(**config))), oracle.plain(pool=False, **_named(config))
 
 
 def _pooled(self_match=False, **config):
-    return lambda spark, sf: _out(pool_products(_recs(spark, sf), _pool(spark, sf), _config(**config), self_match))
+    return lambda spark, sf: _out(pool_products(_recs(spark, sf), _pool(spark, sf), _config(**config), self_match)), oracle.plain(pool=True, self_match=self_match, **_named(config))
+
+
+def _named(config):
+    """The settings under the names that the SQL has for them."""
+    return {{"trim_primers": "trim", "max_n_fraction": "n"}.get(k, k): v for k, v in config.items()}
 
 
 def _all(spark, sf):
@@ -58,7 +67,8 @@ def _all(spark, sf):
 
 
 def _match(k, rc=False, identity=0.0):
-    return lambda spark, sf: matches(_recs(spark, sf), _fwd(spark, sf), MatchConfig(k, identity, rc)).select("rec_id", "primer_idx", "start", "end", "edit_distance", "strand", "cigar", "identity")
+    run = lambda spark, sf: matches(_recs(spark, sf), _arms(spark, sf), MatchConfig(k, identity, rc)).select("rec_id", "primer_idx", "start", "end", "edit_distance", "strand", "cigar", "identity")
+    return run, oracle.matches(k, rc, identity)
 
 
 def _given(spark, sf):
@@ -69,7 +79,7 @@ def _given(spark, sf):
 
 
 def dedup_by_reference(spark, sf):
-    return dedup(_given(spark, sf).where(F.col("sequence").isNotNull())).select(F.col("rec_id").alias("product_id"), "reference_header")
+    return dedup(_given(spark, sf)).select(F.col("rec_id").alias("product_id"), "reference_header")
 
 
 def case_numbers(spark, sf):
@@ -90,12 +100,14 @@ def summary_totals(spark, sf):
 
 def identity(spark, sf):
     t = table(spark, sf, "products")
-    return t.select("product_id", dna.identity("fwd_mismatches", F.col("fwd_end") - F.col("fwd_start")).alias("identity"), dna.identity_text("fwd_identity").alias("identity_text"))
+    sides = [(f"{s}_{name}", c) for s in ("fwd", "rev") for name, c in (("computed", dna.identity(f"{s}_mismatches", F.col(f"{s}_end") - F.col(f"{s}_start"))), ("text", dna.identity_text(f"{s}_identity")))]
+    return t.select("product_id", *[c.alias(name) for name, c in sides])
 
 
 def wrap_and_origpos(spark, sf):
     t = table(spark, sf, "products")
-    return t.select("product_id", dna.is_circular_wrap("fwd_end", "full_length").alias("wraps"), dna.original_pos("fwd_start", "full_length").alias("original"))
+    sides = [(f"{s}_{name}", c) for s in ("fwd", "rev") for name, c in (("wraps", dna.is_circular_wrap(f"{s}_end", "full_length")), ("original", dna.original_pos(f"{s}_start", "full_length")))]
+    return t.select("product_id", *[c.alias(name) for name, c in sides])
 
 
 def format_detect(spark, sf):
@@ -103,49 +115,13 @@ def format_detect(spark, sf):
 
 
 def primer_validate(spark, sf):
-    fwd = dna.ascii_upper(F.trim("forward"))
-    return table(spark, sf, "primers").select("primer_idx", fwd.rlike("^[ACGTRYSWKMBDHVN]*$").alias("valid"), (~F.length(fwd).between(10, 50)).alias("unusual"))
-
-
-_RC = "reverse(translate(regexp_replace({0}, '[^" + LETTERS + "]', 'N', 'g'), '" + LETTERS + "', '" + COMPLEMENTS + "'))"
-#: For each base code of a primer, the letters of text that may stand for one of its bases.
-_CODES = {"A": 1, "C": 2, "G": 4, "T": 8, "R": 5, "Y": 10, "S": 6, "W": 9, "K": 12, "M": 3, "B": 14, "D": 13, "H": 11, "V": 7, "N": 15}
-
-
-_CLASSES = ", ".join(f"('{c}', '{''.join(t for t, v in (*_CODES.items(), ('U', 8)) if v & b)}')" for c, b in _CODES.items())
-
-
-def _hits_sql(arm: str) -> str:
-    """Exact matches of an arm: for each letter the bits of the text that may be it, shifted by the letter's place and joined by AND."""
-    return f"""(SELECT rec_id, primer_idx, name, p AS a, p + m AS e, len FROM (
-  SELECT k.rec_id, l.primer_idx, l.name, l.m, k.len, bit_and(k.mask << CAST(l.i AS INTEGER)) AS b, unnest(range(0, k.len - l.m + 1)) AS p
-  FROM (SELECT primer_idx, name, length({arm}) AS m, unnest(string_split({arm}, '')) AS c, generate_subscripts(string_split({arm}, ''), 1) - 1 AS i FROM pr WHERE regexp_full_match({arm}, '[ACGTRYSWKMBDHVN]+')) l
-  JOIN masks k ON k.code = l.c WHERE k.len >= l.m GROUP BY k.rec_id, l.primer_idx, l.name, l.m, k.len HAVING bit_count(bit_and(k.mask << CAST(l.i AS INTEGER))) > 0) WHERE get_bit(b, CAST(p AS INTEGER)) = 1)"""
-
-
-#: Usable primers; exact matches of either arm; of neighbouring matches of a primer the last.
-_BASE = rf"""
-WITH pr AS (SELECT row_number() OVER (ORDER BY primer_idx, name) - 1 AS primer_idx, name, upper(trim(forward)) AS f, {_RC.format('upper(trim(reverse))')} AS v FROM primers),
-s AS (SELECT seq_id AS rec_id, upper(sequence) AS s, length(sequence) AS len FROM sequences WHERE length(sequence) > 0),
-masks AS MATERIALIZED (SELECT rec_id, len, code, CAST(regexp_replace(regexp_replace(s, '[' || letters || ']', '1', 'g'), '[^1]', '0', 'g') AS BIT) AS mask FROM s, (VALUES {_CLASSES}) AS t(code, letters)),
-hf AS MATERIALIZED {_hits_sql('f')},
-f AS (SELECT rec_id, primer_idx, name, a, e, len FROM (SELECT *, lead(e) OVER (PARTITION BY rec_id, primer_idx ORDER BY e) AS nxt FROM hf) WHERE nxt IS NULL OR nxt <> e + 1)
-"""
-MATCH_SQL = _BASE + "SELECT rec_id, CAST(primer_idx AS BIGINT) AS primer_idx, CAST(a AS BIGINT) AS start, CAST(e AS BIGINT) AS \"end\", CAST(0 AS INTEGER) AS edit_distance, '+' AS strand, CAST(e - a AS VARCHAR) || '=' AS cigar, CAST(1.0 AS DOUBLE) AS identity FROM f"
-_PAIR = _BASE + rf""",
-hv AS MATERIALIZED {_hits_sql('v')},
-j AS (SELECT f.rec_id, f.primer_idx, f.name, f.len, f.a AS fa, f.e AS fe, v.a AS va, v.e AS ve FROM f JOIN hv v ON v.rec_id = f.rec_id AND v.primer_idx = f.primer_idx AND v.a >= f.e AND v.e <= least(f.a + 2000, f.len)
-  LEFT JOIN hv n ON n.rec_id = v.rec_id AND n.primer_idx = v.primer_idx AND n.e = v.e + 1 AND n.e <= least(f.a + 2000, f.len) WHERE n.e IS NULL AND v.e - f.a BETWEEN 50 AND 2000),
-x AS (SELECT j.*, substr(s.s, CAST({{start}} + 1 AS BIGINT), CAST({{stop}} - {{start}} AS BIGINT)) AS sequence FROM j JOIN s ON s.rec_id = j.rec_id WHERE {{start}} < {{stop}})
-SELECT rec_id, CAST(primer_idx AS BIGINT) AS primer_idx, CAST(primer_idx AS BIGINT) AS rev_idx, name AS primer_name, sequence, CAST(ve - fa AS BIGINT) AS full_length, '+' AS strand, false AS is_circular_wrap,
-  CAST({{start}} % len AS BIGINT) AS original_start, CAST({{stop}} % len AS BIGINT) AS original_end,
-  CAST(fa AS BIGINT) AS fwd_start, CAST(fe AS BIGINT) AS fwd_end, CAST(0 AS INTEGER) AS fwd_mismatches, CAST(1.0 AS DOUBLE) AS fwd_identity, CAST(fe - fa AS VARCHAR) || '=' AS fwd_cigar,
-  CAST(va AS BIGINT) AS rev_start, CAST(ve AS BIGINT) AS rev_end, CAST(0 AS INTEGER) AS rev_mismatches, CAST(1.0 AS DOUBLE) AS rev_identity, CAST(ve - va AS VARCHAR) || '=' AS rev_cigar
-FROM x WHERE (length(sequence) - length(replace(sequence, 'N', ''))) / length(sequence) <= {{n}}
-"""
-PAIR_SQL = _PAIR.format(start="fa", stop="ve", n="0.1")
-TRIMMED_SQL = _PAIR.format(start="fe", stop="va", n="0.1")
-ANY_N_SQL = _PAIR.format(start="fa", stop="ve", n="1.0")
+    """Both arms of the pairs and the pool."""
+    arms = table(spark, sf, "primers").select("primer_idx", F.explode(F.create_map(F.lit("forward"), "forward", F.lit("reverse"), "reverse")).alias("arm", "raw"))
+    arms = arms.unionByName(table(spark, sf, "pool_primers").select("primer_idx", F.lit("pool").alias("arm"), F.col("sequence").alias("raw")))
+    seq = dna.ascii_upper(F.trim("raw"))
+    return arms.select("primer_idx", "arm", seq.rlike("^[ACGTRYSWKMBDHVN]*$").alias("valid"), (~F.length(seq).between(10, 50)).alias("unusual"))
+
+
 _AMPLICON = r"CASE WHEN regexp_matches(reference_header, '\S') THEN regexp_extract(reference_header, '\S+') ELSE reference_header END || ':' || primer_name || CASE WHEN strand = '-' THEN '_rc' ELSE '' END || CASE WHEN is_circular_wrap THEN '_wrap' ELSE '' END || ':' || case_number"
 _NUMBER = "row_number() OVER (PARTITION BY reference_header ORDER BY product_id)"
 _FASTA_EXT, _GB_EXT = ("'" + "','".join(e) + "'" for e in (dna.FASTA_EXTENSIONS, dna.GENBANK_EXTENSIONS))
@@ -160,33 +136,34 @@ QUERIES = {
     "ascii_upper": (_scalar("upper", lambda: dna.ascii_upper("sequence")), f"SELECT seq_id, translate(sequence, '{dna.LOWER_AZ}', '{dna.AZ}') AS upper FROM sequences"),
     "reference_id": (_scalar("reference_id", lambda: dna.reference_id("header")), r"SELECT seq_id, CASE WHEN regexp_matches(header, '\S') THEN regexp_extract(header, '\S+') ELSE header END AS reference_id FROM sequences"),
     "wrap80": (_scalar("lines", lambda: dna.wrapped("sequence")), r"SELECT seq_id, rtrim(regexp_replace(sequence, '(.{80})', '\1' || chr(10), 'g'), chr(10)) AS lines FROM sequences"),
-    "identity": (identity, "SELECT product_id, CASE WHEN fwd_end = fwd_start THEN 0.0 ELSE greatest(fwd_end - fwd_start - fwd_mismatches, 0) / (fwd_end - fwd_start) END AS identity, format('{:.4f}', round_even(fwd_identity, 4)) AS identity_text FROM products"),
-    "wrap_and_origpos": (wrap_and_origpos, "SELECT product_id, fwd_end >= full_length AS wraps, CASE WHEN full_length <> 0 THEN ((fwd_start % full_length) + full_length) % full_length END AS original FROM products"),
+    "identity": (identity, "SELECT product_id, " + ", ".join(f"CASE WHEN {x}_end = {x}_start THEN 0.0 ELSE greatest({x}_end - {x}_start - {x}_mismatches, 0) / ({x}_end - {x}_start) END AS {x}_computed, format('{{:.4f}}', round_even({x}_identity, 4)) AS {x}_text" for x in ("fwd", "rev")) + " FROM products"),
+    "wrap_and_origpos": (wrap_and_origpos, "SELECT product_id, " + ", ".join(f"{x}_end >= full_length AS {x}_wraps, CASE WHEN full_length <> 0 THEN (({x}_start % full_length) + full_length) % full_length END AS {x}_original" for x in ("fwd", "rev")) + " FROM products"),
     "format_detect": (format_detect, f"SELECT file_id, CASE WHEN {_EXT} IN ({_FASTA_EXT}) THEN 'fasta' WHEN {_EXT} IN ({_GB_EXT}) THEN 'genbank' END AS format, ends_with(lower(source_file), '.gz') AS gzipped FROM inbox_files"),
-    "primer_validate": (primer_validate, "SELECT primer_idx, regexp_full_match(upper(trim(forward, ' ')), '[ACGTRYSWKMBDHVN]*') AS valid, length(trim(forward, ' ')) NOT BETWEEN 10 AND 50 AS unusual FROM primers"),
-    "match_exact": (_match(0), MATCH_SQL),
-    "match_approx": (_match(2), None),
-    "match_identity_filter": (_match(2, identity=0.95), None),
-    "match_rc_strand": (_match(1, True), None),
-    "pair_linear": (_pair(), PAIR_SQL),
-    "pair_trimmed": (_pair(trim_primers=True), TRIMMED_SQL),
-    "pair_n_filter": (_pair(max_n_fraction=1.0), ANY_N_SQL),
-    "pair_len_filter": (_pair(max_len=2000), PAIR_SQL),
-    "pair_approx": (_pair(k=2), None),
-    "pair_rc_strand": (_pair(k=1, rc=True), None),
-    "pair_circular": (_pair(k=1, circular=True), None),
-    "pool_basic": (_pooled(), None),
-    "pool_self_match": (_pooled(self_match=True), None),
-    "pool_circular": (_pooled(circular=True), None),
-    "pool_rc_strand": (_pooled(k=1, rc=True), None),
-    "pcr_finalized": (lambda spark, sf: _out(finalize(_all(spark, sf), True)), None),
-    "pcr_numbered_per_call": (lambda spark, sf: _out(number_per_call(_all(spark, sf))), None),
-    "dedup_by_reference": (dedup_by_reference, f"SELECT min(product_id) AS product_id, reference_header FROM (SELECT product_id, reference_header, least(sequence, {_RC.format('sequence')}) AS c FROM products WHERE sequence IS NOT NULL) GROUP BY reference_header, c"),
+    "primer_validate": (primer_validate, "SELECT primer_idx, arm, regexp_full_match(upper(trim(raw, ' ')), '[ACGTRYSWKMBDHVN]*') AS valid, length(trim(raw, ' ')) NOT BETWEEN 10 AND 50 AS unusual FROM (SELECT primer_idx, 'forward' AS arm, forward AS raw FROM primers UNION ALL SELECT primer_idx, 'reverse', reverse FROM primers UNION ALL SELECT primer_idx, 'pool', sequence FROM pool_primers)"),
+    "match_exact": _match(0),
+    "match_approx": _match(2),
+    "match_identity_filter": _match(2, identity=0.95),
+    "match_rc_strand": _match(1, True),
+    "pair_linear": _pair(),
+    "pair_trimmed": _pair(trim_primers=True),
+    "pair_n_filter": _pair(max_n_fraction=1.0),
+    "pair_len_filter": _pair(min_len=150, max_len=400),
+    "pair_approx": _pair(k=2),
+    "pair_rc_strand": _pair(k=1, rc=True),
+    "pair_circular": _pair(k=1, circular=True),
+    "pool_basic": _pooled(),
+    "pool_self_match": _pooled(self_match=True),
+    "pool_circular": _pooled(circular=True),
+    "pool_rc_strand": _pooled(k=1, rc=True),
+    "pcr_finalized": (lambda spark, sf: _out(finalize(_all(spark, sf), True)), oracle.numbered(distinct=True, pool=False, k=1, rc=True)),
+    "pcr_numbered": (lambda spark, sf: _out(finalize(_all(spark, sf))), oracle.numbered(pool=False, k=1, rc=True)),
+    "pcr_numbered_per_call": (lambda spark, sf: _out(number_per_call(_all(spark, sf))), oracle.numbered(per_call=True, pool=False, k=1, rc=True)),
+    "dedup_by_reference": (dedup_by_reference, f"SELECT min(product_id) AS product_id, reference_header FROM (SELECT product_id, reference_header, least(sequence, {_RC.format('sequence')}) AS c FROM products) GROUP BY reference_header, c"),
     "case_numbers": (case_numbers, f"SELECT product_id, {_NUMBER} AS case_number FROM products"),
     "header_format": (header_format, f"SELECT product_id, {_AMPLICON} AS amplicon_id FROM products"),
     "fasta_records": (lambda spark, sf: fasta_text(_given(spark, sf)), rf"SELECT '>' || {_AMPLICON} || chr(9) || 'pos=' || original_start || '-' || original_end || chr(9) || 'strand=' || strand || chr(9) || 'len=' || full_length || chr(10) || rtrim(regexp_replace(sequence, '(.{{80}})', '\1' || chr(10), 'g'), chr(10)) AS value FROM products"),
     "tsv_rows": (lambda spark, sf: tsv_columns(_given(spark, sf)), f"SELECT {_AMPLICON} AS amplicon_id, coalesce(reference_header, '') AS reference_id, coalesce(source_file, '') AS source_file, coalesce(primer_name, '') AS primer_name, length(sequence)::VARCHAR AS product_len, coalesce(full_length::VARCHAR, '') AS full_len, "
-        + ", ".join(f"coalesce({s}_start::VARCHAR, '') AS {s}_start, coalesce({s}_end::VARCHAR, '') AS {s}_end, coalesce({s}_mismatches::VARCHAR, '') AS {s}_mismatches, coalesce(format('{{:.4f}}', round_even({s}_identity, 4)), 'null') AS {s}_identity, coalesce({s}_cigar, '') AS {s}_cigar" for s in ("fwd", "rev"))
+        + ", ".join(f"coalesce({s}_start::VARCHAR, '') AS {s}_start, coalesce({s}_end::VARCHAR, '') AS {s}_end, coalesce({s}_mismatches::VARCHAR, '') AS {s}_mismatches, coalesce(format('{{:.4f}}', round_even({s}_identity, 4)), '') AS {s}_identity, coalesce({s}_cigar, '') AS {s}_cigar" for s in ("fwd", "rev"))
         + ", coalesce(strand, '') AS strand, coalesce(is_circular_wrap::VARCHAR, '') AS is_circular_wrap, coalesce(sequence, '') AS product_seq FROM products"),
     "count_by_primer": (lambda spark, sf: count_by(table(spark, sf, "products"), "primer_name"), "SELECT primer_name, count(*) AS n_products FROM products GROUP BY primer_name"),
     "count_by_reference": (lambda spark, sf: count_by(table(spark, sf, "products"), "reference_header"), "SELECT reference_header, count(*) AS n_products FROM products GROUP BY reference_header"),

@@ -16,8 +16,15 @@ from amplispark.errors import OutputDirMissing, OutputNotWritable
 from amplispark.functions.dna import amplicon_id, identity_text, wrapped
 
 # The columns of the TSV, in order.
-TSV_COLUMNS = "amplicon_id reference_id source_file primer_name product_len full_len fwd_start fwd_end fwd_mismatches fwd_identity fwd_cigar rev_start rev_end rev_mismatches rev_identity rev_cigar strand is_circular_wrap product_seq".split()
+TSV_COLUMNS = (
+    "amplicon_id", "reference_id", "source_file", "primer_name", "product_len", "full_len",
+    "fwd_start", "fwd_end", "fwd_mismatches", "fwd_identity", "fwd_cigar",
+    "rev_start", "rev_end", "rev_mismatches", "rev_identity", "rev_cigar",
+    "strand", "is_circular_wrap", "product_seq",
+)
 BGZF_BLOCK = 65_280
+# Fixed value: how each block of a BGZF file begins, up to its size.
+BGZF_HEAD = bytes.fromhex("1f8b08040000000000ff060042430200")
 # Fixed value: the empty block that ends a BGZF file.
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 
@@ -37,7 +44,7 @@ def tsv_columns(products: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     values = [_id(), text("reference_header"), text("source_file"), text("primer_name"), F.length("sequence").cast("string"), text("full_length")]
     for s in ("fwd", "rev"):
-        values += [text(f"{s}.start"), text(f"{s}.end"), text(f"{s}.edit_distance"), identity_text(f"{s}.identity"), text(f"{s}.cigar")]
+        values += [text(f"{s}.start"), text(f"{s}.end"), text(f"{s}.edit_distance"), F.coalesce(identity_text(f"{s}.identity"), F.lit("")), text(f"{s}.cigar")]
     values += [text("strand"), text("is_circular_wrap"), text("sequence")]
     return products.select(*[v.alias(n) for n, v in zip(TSV_COLUMNS, values)])
 
@@ -64,7 +71,7 @@ def check_writable(path: str) -> None:
 def _bgzf(block: bytes) -> bytes:
     deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
     body = deflate.compress(block) + deflate.flush()
-    head = bytes.fromhex("1f8b08040000000000ff0600424302 00".replace(" ", "")) + struct.pack("<H", len(body) + 25)
+    head = BGZF_HEAD + struct.pack("<H", len(body) + 25)
     return head + body + struct.pack("<II", zlib.crc32(block), len(block))
 
 
