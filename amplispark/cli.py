@@ -20,7 +20,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-p", "--primers", required=True, help="CSV file, or name:forward:reverse;... (with --pool name:sequence;...)")
     p.add_argument("--circular", action="store_true")
     p.add_argument("--max-decompression-size", type=int, default=DEFAULT_LIMIT, help="bytes, 0 for no limit")
-    p.add_argument("-e", "--max-errors", type=int, default=2)
+    p.add_argument("-k", "--max-errors", type=int, default=2, help="edits allowed in a primer's match")
     p.add_argument("--min-identity", type=float, default=0.0)
     p.add_argument("--search-rc", action="store_true")
     p.add_argument("-t", "--threads", type=int, default=0, help="local cores, 0 for all; of no account on a cluster")
@@ -32,19 +32,25 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max-n-fraction", type=float, default=0.1)
     p.add_argument("-o", "--output", help="FASTA file, BGZF if it ends in .gz; standard output if absent")
     p.add_argument("--tsv")
+    p.add_argument("--folders", action="store_true", help="outputs are folders written by the executors, in no order")
     p.add_argument("-v", "--verbose", action="count", default=0)
     p.add_argument("-q", "--quiet", action="store_true")
     p.add_argument("--remove-duplicates", action="store_true")
     return p
 
 
+#: The level of -vvv, below DEBUG.
+TRACE = 5
+
+
 def effective_threads(wanted: int) -> int:
     return wanted if wanted > 0 else os.cpu_count() or 1
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    logging.basicConfig(level=[logging.WARNING, logging.INFO, logging.DEBUG][min(args.verbose, 2)])
+    logging.addLevelName(TRACE, "TRACE")
+    logging.basicConfig(level=[logging.WARNING, logging.INFO, logging.DEBUG, TRACE][min(args.verbose, 3)])
     if args.min_identity > 0:
         print(f"only matches with an identity of at least {args.min_identity} count", file=sys.stderr)
     try:
@@ -52,7 +58,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         config = PcrConfig(match, args.min_len, args.max_len, args.circular, args.trim_primers, args.max_n_fraction)
         spark = spark or SparkSession.builder.master(f"local[{effective_threads(args.threads)}]").config("spark.ui.showConsoleProgress", str(not (args.quiet or args.verbose)).lower()).getOrCreate()
         job = PcrJob(spark, args.input, args.primers, config, args.pool, args.pool_self_match, args.remove_duplicates, args.max_decompression_size)
-        summary = job.run(args.output, args.tsv, args.output is None)
+        summary = job.run(args.output, args.tsv, args.output is None, args.folders)
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

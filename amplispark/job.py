@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from amplispark.config import PcrConfig
 from amplispark.operators.finalize import RunSummary, finalize, summarize
 from amplispark.operators.products import pair_products, pool_products
 from amplispark.runtime import checkpointed
+from amplispark.shipping import ship
 from amplispark.sources.files import DEFAULT_LIMIT
 from amplispark.sources.primers import parse_pool_primers, parse_primers
 from amplispark.sources.seqfile import read_records
-from amplispark.sources.writers import check_writable, write_fasta, write_tsv
+from amplispark.sources.writers import check_writable, write_fasta, write_folder, write_tsv
 
 
 @dataclass
@@ -33,23 +34,34 @@ class PcrJob:
     def records(self) -> DataFrame:
         return read_records(self.spark, self.inputs, self.max_decompressed_bytes)
 
-    def products(self) -> DataFrame:
-        recs = self.records()
+    def products(self, recs: DataFrame | None = None) -> DataFrame:
+        recs = self.records() if recs is None else recs
         if self.pool:
             found = pool_products(recs, parse_pool_primers(self.primers), self.config, self.pool_self_match)
         else:
             found = pair_products(recs, parse_primers(self.primers), self.config)
         return finalize(found, self.remove_duplicates, self.pool)
 
-    def run(self, fasta: str | None = None, tsv: str | None = None, stdout: bool = True) -> RunSummary:
-        """Writes the outputs and gives the summary. Output paths are tried before anything is read."""
-        for path in filter(None, (fasta, tsv)):
+    def run(self, fasta: str | None = None, tsv: str | None = None, stdout: bool = True, folders: bool = False) -> RunSummary:
+        """Writes the outputs and gives the summary. Output paths are tried before anything is read.
+
+        With `folders` the outputs are folders of files that the executors write, unordered: for results too large for one file.
+        """
+        for path in filter(None, () if folders else (fasta, tsv)):
             check_writable(path)
         n_primers = len((parse_pool_primers if self.pool else parse_primers)(self.primers))
-        products = checkpointed(self.products())  # found once, then written, counted and listed
+        ship(self.spark)
+        seen = Observation()
+        products = checkpointed(self.products(self.records().observe(seen, F.count(F.lit(1)).alias("n"))))  # found once, then written, counted and listed
         order = ("rec_id", F.col("strand").asc(), "case_number") if self.pool else ("rec_id", "case_number")
-        if fasta or stdout:
+        if folders:
+            for path, kind in ((fasta, "fasta"), (tsv, "tsv")):
+                if path:
+                    write_folder(products, path, kind, "gzip" if path.lower().endswith(".gz") else "none")
+        elif fasta or stdout:
             write_fasta(products, fasta, order)
-        if tsv:
+        if tsv and not folders:
             write_tsv(products, tsv, order)
-        return summarize(products, self.records().select("rec_id").count(), n_primers)
+        summary = summarize(products, seen.get["n"], n_primers)
+        summary.log()
+        return summary

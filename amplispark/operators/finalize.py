@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from amplispark.functions.dna import canonical
+from amplispark.runtime import checkpointed
+
+LOG = logging.getLogger("amplispark")
+#: Primer names that a summary lists; in pool mode there may be as many as there are pairs of primers.
+LISTED_PRIMERS = 10_000
 
 #: The order of a run's products: in pool mode all of strand + come before all of -, in pair mode primer by primer.
 PAIR_ORDER = ("rec_id", "primer_idx", "strand_no", "fwd_end", "fwd_start", "rev_idx", "rev_end", "rev_start")
@@ -61,7 +67,10 @@ def number_per_call(products: DataFrame, pool: bool = False) -> DataFrame:
 
 
 def finalize(products: DataFrame, remove_duplicates: bool = False, pool: bool = False) -> DataFrame:
-    return number(dedup(products, pool) if remove_duplicates else products, pool)
+    """Numbered products, without duplicates if so wished. They are kept in the shared folder first, so that the search runs once though
+    numbers need counts before."""
+    found = checkpointed(products)
+    return number(dedup(found, pool) if remove_duplicates else found, pool)
 
 
 def flattened(products: DataFrame) -> DataFrame:
@@ -77,12 +86,13 @@ def count_by(products: DataFrame, column: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class RunSummary:
-    """Totals of a run. The lists hold (name, count), most first."""
+    """Totals of a run. The lists hold (name, count), most first; of primers the first LISTED_PRIMERS of n_primers."""
 
     total_sequences: int
     total_primers: int
     total_products: int
     products_per_primer: list[tuple[str, int]]
+    n_primers: int
     n_references: int
     products_per_reference: list[tuple[str, int]]
 
@@ -91,6 +101,8 @@ class RunSummary:
         out = ["PCR summary", f"  Sequences:    {self.total_sequences}", f"  Primer pairs: {self.total_primers}", f"  Products:     {self.total_products}"]
         if self.products_per_primer:
             out += ["  Products per primer:", *(f"    {n}: {c}" for n, c in self.products_per_primer)]
+        if self.n_primers > len(self.products_per_primer):
+            out.append(f"    and {self.n_primers - len(self.products_per_primer)} more")
         if 0 < self.n_references <= listed:
             out += ["  Products per reference:", *(f"    {n}: {c}" for n, c in self.products_per_reference)]
         elif self.n_references:
@@ -98,10 +110,18 @@ class RunSummary:
         return out
 
 
+    def log(self, listed: int = 10) -> None:
+        """The same lines to the log, as information."""
+        for line in self.lines(listed):
+            LOG.info(line)
+
+
 def summarize(products: DataFrame, total_sequences: int, total_primers: int, listed: int = 10) -> RunSummary:
-    """Counts by primer (as many as there are primer names) and, if few, by reference."""
-    per_primer = [(r[0], r[1]) for r in count_by(products, "primer_name").collect()]
+    """Counts by primer, the first LISTED_PRIMERS, and, if few, by reference."""
+    by_primer = count_by(products, "primer_name")
+    per_primer = [(r[0], r[1]) for r in by_primer.limit(LISTED_PRIMERS).collect()]
+    totals = by_primer.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_products"), F.lit(0))).first()
     per_reference = count_by(products, "reference_header")
     some = [(r[0], r[1]) for r in per_reference.limit(listed + 1).collect()]
     n = len(some) if len(some) <= listed else per_reference.count()
-    return RunSummary(total_sequences, total_primers, sum(c for _, c in per_primer), per_primer, n, some[:listed])
+    return RunSummary(total_sequences, total_primers, totals[1], per_primer, totals[0], n, some[:listed])

@@ -187,3 +187,13 @@ def find_matches(primer: str, text: str, config: MatchConfig = MatchConfig()) ->
     if config.search_rc:
         found += [Match(m.start, m.end, m.edit_distance, "-", m.cigar, m.identity) for _, m in laid.find(to_bits(rc_text(primer)), config)]
     return found
+
+
+def find_forward_matches(primer: str, text: str, config: MatchConfig = MatchConfig()) -> list[Match]:
+    """Matches of a forward primer."""
+    return find_matches(primer, text, config)
+
+
+def find_reverse_matches(primer: str, text: str, config: MatchConfig = MatchConfig()) -> list[Match]:
+    """Matches of a reverse primer as given; where it is to be looked for on the + text, give its reverse complement."""
+    return find_matches(primer, text, config)

@@ -2,40 +2,51 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Of the rows, one in SAMPLE_EVERY (by hash of the id) is looked at to find heavy keys.
 SAMPLE_EVERY = 16
-#: A key is heavy that holds at least this share of the sampled rows: no more than 64 keys can.
-HEAVY_SHARE = 1 / 64
-#: Time ranges a heavy key is cut into.
-RANGES = 32
+#: Rows that one task orders: a share for TASKS_A_CORE tasks a core, within these bounds.
+TASKS_A_CORE, LEAST_ROWS, MOST_ROWS = 3, 1_000, 4_000_000
 
 
 def _micros(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp"))
 
 
+def rows_a_task(n_rows: int, cores: int) -> int:
+    return min(MOST_ROWS, max(LEAST_ROWS, n_rows // (TASKS_A_CORE * cores)))
+
+
 def heavy_keys(rows: DataFrame, keys: list[str], order: str, tie: str) -> DataFrame:
-    """The heavy keys with the splits of their time ranges: keys, _splits, _busy, _low, _step.
+    """The heavy keys, those with more rows than one task is to order, with the splits of their time ranges: keys, _splits, _busy, _low, _step.
 
-    At most 1 / HEAVY_SHARE rows, so it may be broadcast. _busy: split values that occur more than once; such a
-    moment holds several ranges' worth of rows and is cut by `tie` in steps of _step from _low on.
+    There are at most rows / rows_a_task of them, with as many splits in all, so it may be broadcast: some 20 bytes for each
+    MOST_ROWS rows of a large table, TASKS_A_CORE rows a core of a small one. _busy: split values that occur more
+    than once; such a moment holds several ranges' worth of rows and is cut by `tie` in steps of _step from _low on.
     """
     sample = rows.where(F.pmod(F.xxhash64(tie), F.lit(SAMPLE_EVERY)) == 0)
-    total = sample.agg(F.count(F.lit(1)).alias("_all"))
-    points = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    per_key = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(F.col("_t"), points, F.lit(2000)).alias("_splits"), F.min(tie).alias("_low"), F.max(tie).alias("_high"))
-    heavy = per_key.join(F.broadcast(total), F.col("_n") >= F.greatest(F.lit(8), F.col("_all") * HEAVY_SHARE))
-    splits = F.coalesce("_splits", F.array().cast("array<bigint>"))
+    n_rows = SAMPLE_EVERY * sample.count()
+    target = rows_a_task(n_rows, rows.sparkSession.sparkContext.defaultParallelism)
+    ranges = max(2, -(-n_rows // target))
+    points = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    per_key = sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(F.col("_t"), points, F.lit(max(2000, 50 * ranges))).alias("_every"), F.min(tie).alias("_low"), F.max(tie).alias("_high"))
+    own = F.ceil(F.col("_n") * SAMPLE_EVERY / target)
+    heavy = per_key.withColumn("_own", own).where((F.col("_own") > 1) & (F.col("_n") >= 8))
+    step = F.greatest(F.lit(1), F.floor(ranges / F.col("_own")))  # of all the splits, as many as the key needs
+    splits = F.filter(F.coalesce("_every", F.array().cast("array<bigint>")), lambda x, i: F.pmod(i + 1, step) == 0)
+    heavy = heavy.withColumn("_splits", splits)
     return heavy.select(
         *keys,
-        splits.alias("_splits"),
-        F.array_distinct(F.filter(splits, lambda x, i: (i > 0) & (x == F.element_at(splits, F.when(i > 0, i).otherwise(1))))).alias("_busy"),
+        "_splits",
+        F.array_distinct(F.filter("_splits", lambda x, i: (i > 0) & (x == F.element_at("_splits", F.when(i > 0, i).otherwise(1))))).alias("_busy"),
         "_low",
-        F.greatest(F.lit(1).cast("bigint"), F.floor((F.col("_high") - F.col("_low")) / RANGES)).alias("_step"),
+        F.greatest(F.lit(1).cast("bigint"), F.floor((F.col("_high") - F.col("_low")) / F.col("_own"))).alias("_step"),
     )
 
 
@@ -46,11 +57,12 @@ def misnumbered(products: DataFrame, keys: tuple[str, ...] = ("reference_header"
     is neither too small nor a measure for the next row. Repeated rows (same id) are ordered by number. An empty
     table gives no rows. Other columns are ignored.
 
-    Heavy keys, found by a sample, are cut into time ranges through a broadcast join; the ranges are numbered
+    Heavy keys, those of which a sample shows more rows than one task is to order, are cut into time ranges through a broadcast join; the ranges are numbered
     separately and the last row of each is handed to the next. All other keys go through an ordinary shuffle.
     """
     names = list(keys)
-    rows = products.where(F.concat_ws("", *[F.when(F.col(k).isNull(), "x") for k in names]) == "").select(*names, F.col(tie).alias("_id"), F.col(order).alias("_at"), F.col(number).alias("_no"))
+    known = reduce(and_, [F.col(k).isNotNull() for k in names])
+    rows = products.where(known).select(*names, F.col(tie).alias("_id"), F.col(order).alias("_at"), F.col(number).alias("_no"))
     rows = rows.withColumn("_t", _micros(F.col("_at")))
     heavy = heavy_keys(rows, names, "_at", "_id")
     within = [F.col("_at").asc_nulls_first(), F.col("_id").asc_nulls_first(), F.col("_no").asc_nulls_first()]

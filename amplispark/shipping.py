@@ -8,9 +8,14 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+DONE = "spark.amplispark.shipped"
 
-def ship(spark: SparkSession, root: str) -> None:
-    """Adds the package's source files, zipped, to the session's Python files."""
+
+def ship(spark: SparkSession) -> None:
+    """Adds the package's source files, zipped, to the session's Python files, once a session: it may not be installed on the executors."""
+    if spark.conf.get(DONE, "no") == "yes":
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     to = os.path.join(tempfile.mkdtemp(prefix="amplispark-"), "amplispark.zip")
     with zipfile.ZipFile(to, "w") as z:
         for folder, _, files in os.walk(os.path.join(root, "amplispark")):
@@ -19,3 +24,4 @@ def ship(spark: SparkSession, root: str) -> None:
                     path = os.path.join(folder, f)
                     z.write(path, os.path.relpath(path, root))
     spark.sparkContext.addPyFile(to)
+    spark.conf.set(DONE, "yes")

@@ -13,9 +13,14 @@ LOG = logging.getLogger("amplispark")
 UPPER = str.maketrans(LOWER_AZ, AZ)
 NOT_LETTERS = re.compile("[^A-Za-z]")
 LONGEST_LINE = 100_000
-# The words that begin a part of a GenBank record; its values stand from column 12 on.
-KEYWORDS = ("LOCUS", "DEFINITION", "ACCESSION", "VERSION", "KEYWORDS", "SOURCE", "ORGANISM", "REFERENCE", "COMMENT", "DBLINK", "DBSOURCE", "FEATURES", "ORIGIN", "BASE COUNT", "CONTIG", "//")
+# Fixed value: the column from which on the values of a GenBank record's parts stand.
 COLUMN = 12
+#: The one parser there is, for FASTA as for GenBank.
+PARSER = "lines"
+
+
+def parser_name() -> str:
+    return PARSER
 
 
 @dataclass
@@ -53,7 +58,8 @@ def genbank(lines: Iterable[bytes], path: str = "") -> Iterator[GenbankRecord]:
     """Records from LOCUS to //. One without // ends at the next LOCUS or the file's end, there with a warning.
 
     Name, accession and definition stand before FEATURES and ORIGIN. The sequence is the letters after the first
-    ORIGIN, in their case. What stands before the first LOCUS is skipped.
+    ORIGIN, in their case. A definition goes on in the indented lines below it, whatever their first word. What stands
+    before the first LOCUS is skipped.
     """
     now: GenbankRecord | None = None
     part, seq = "", []
@@ -82,7 +88,7 @@ def genbank(lines: Iterable[bytes], path: str = "") -> Iterator[GenbankRecord]:
             continue
         elif line.startswith("DEFINITION"):
             part, now.definition = "DEFINITION", line[COLUMN:].strip() or None
-        elif part == "DEFINITION" and line[:1].isspace() and line.strip() and not line.lstrip().startswith(KEYWORDS):
+        elif part == "DEFINITION" and line[:1].isspace() and line.strip():
             now.definition = " ".join(filter(None, (now.definition, line.strip())))
         elif line.startswith("ACCESSION"):
             part, now.accession = "ACCESSION", (line[COLUMN:].split() or [None])[0]

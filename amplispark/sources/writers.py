@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import struct
 import sys
+import uuid
 import zlib
 from collections.abc import Iterable
 from typing import TextIO
@@ -76,14 +77,18 @@ def _bgzf(block: bytes) -> bytes:
 
 
 class _Sink:
-    """A file that is made when the first line comes; BGZF if its name ends in .gz."""
+    """A file that is made when the first line comes; BGZF if its name ends in .gz.
+
+    It is written under another name and renamed when complete. Without a line there is no file, and one of an older run goes.
+    """
 
     def __init__(self, path: str):
         self.path, self.file, self.held = path, None, b""
+        self.temp = os.path.join(os.path.dirname(path), f".{os.path.basename(path)}-{uuid.uuid4().hex}")
 
     def line(self, text: str) -> None:
         if self.file is None:
-            self.file = open(self.path, "wb")
+            self.file = open(self.temp, "wb")
         self.held += text.encode() + b"\n"
         zipped = self.path.lower().endswith(".gz")
         while len(self.held) >= BGZF_BLOCK:
@@ -92,6 +97,8 @@ class _Sink:
 
     def close(self) -> bool:
         if self.file is None:
+            if os.path.exists(self.path):
+                os.remove(self.path)
             return False
         zipped = self.path.lower().endswith(".gz")
         if self.held:
@@ -99,8 +106,14 @@ class _Sink:
         if zipped:
             self.file.write(BGZF_END)
         self.file.close()
+        os.replace(self.temp, self.path)
         return True
 
+    def drop(self) -> None:
+        if self.file is not None:
+            self.file.close()
+            os.remove(self.temp)
+
 
 def _write(rows: Iterable, path: str | None, head: str | None, out: TextIO | None = None) -> bool:
     if path is None:
@@ -108,11 +121,15 @@ def _write(rows: Iterable, path: str | None, head: str | None, out: TextIO | Non
             print(r["value"], file=out or sys.stdout)
         return True
     sink = _Sink(path)
-    for r in rows:
-        if head:
-            sink.line(head)
-            head = None
-        sink.line(r["value"])
+    try:
+        for r in rows:
+            if head:
+                sink.line(head)
+                head = None
+            sink.line(r["value"])
+    except BaseException:
+        sink.drop()
+        raise
     return sink.close()
 
 

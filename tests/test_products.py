@@ -112,6 +112,32 @@ def test_numbers_follow_a_total_order(spark, pool):
     assert len(got) == 8 and [g[0] for g in got] == sorted(g[0] for g in got)
 
 
+def test_numbering_does_not_search_again(spark):
+    found = run(spark, (F16, R16), amplicon(10, 50, 10), amplicon(30, 50, 10))
+    for distinct in (False, True):
+        out = finalize(found, distinct)
+        assert out.count() == 2
+        assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_searches_with_edits_against_sql(spark):
+    """Matches, pairs and pools with edits, both strands, circular records and numbers on the smallest tables."""
+    import duckdb
+
+    from amplispark.plans import pcr
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("sequences", "primers", "pool_primers"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name in ("match_approx", "match_rc_strand", "pair_approx", "pair_circular", "pool_rc_strand", "pcr_numbered"):
+        query, sql = pcr.QUERIES[name]
+        df = query(spark, sf)
+        names = ", ".join(f'"{c}"' for c in df.columns)
+        got = sorted(tuple(map(str, r)) for r in df.collect())
+        assert got and got == sorted(tuple(map(str, r)) for r in con.execute(f"SELECT {names} FROM ({sql})").fetchall()), name
+
+
 def test_length_bounds_against_sql(spark):
     """The query pair_len_filter with bounds of its own on both sides, which those of pair_linear are not."""
     import duckdb
@@ -120,12 +146,12 @@ def test_length_bounds_against_sql(spark):
 
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    for t in ("sequences", "primers"):
+    for t in ("sequences", "primers", "pool_primers"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     bounds = {}
     for low, high in ((50, 2000), (150, 2000), (50, 400), (150, 400)):
-        sql = pcr.PAIR_SQL.replace("BETWEEN 50 AND 2000", f"BETWEEN {low} AND {high}").replace("f.a + 2000", f"f.a + {high}")
-        df = pcr._pair(min_len=low, max_len=high)(spark, sf)
+        query, sql = pcr._pair(min_len=low, max_len=high)
+        df = query(spark, sf)
         got = sorted(tuple(map(str, r)) for r in df.collect())
         want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
         assert got == sorted(tuple(map(str, r)) for r in want)

@@ -6,9 +6,10 @@ from amplispark import cli
 from amplispark.errors import CsvFormat, DecompressionLimitExceeded, LineTooLong, OutputDirMissing
 from amplispark.functions import dna
 from amplispark.functions.dna import rc_text
+from amplispark.operators.finalize import RunSummary
 from amplispark.operators.udtf import register as register_udtf
 from amplispark.sources.files import chunks, detect_format, expand_inputs, is_bgzf, lines
-from amplispark.sources.formats import fasta, genbank
+from amplispark.sources.formats import fasta, genbank, parser_name
 from amplispark.sources.primers import PrimerPair, parse_pool_primers, parse_primers, validate_iupac_sequence
 from amplispark.sources.seqfile import read_records
 from amplispark.sources.writers import check_writable
@@ -94,13 +95,32 @@ def test_cli_round_trip(spark, tmp_path, capsys):
     assert is_bgzf(str(out)) and gzip.open(out, "rt").readline() == ">ref:p:1\tpos=80-282\tstrand=+\tlen=202\n"
     assert [x.split("\t")[0] for x in tsv.read_text().splitlines()] == ["amplicon_id", "ref:p:1"]
     assert "Products:     1" in capsys.readouterr().err
-    assert cli.main(["-i", str(tmp_path / "a.fa"), "-p", "p:CCCCCCCCCC:GGGGGGGGGG", "-e", "0", "-o", str(tmp_path / "n.fa")], spark) == 0
+    assert cli.main(["-i", str(tmp_path / "a.fa"), "-p", "p:CCCCCCCCCC:GGGGGGGGGG", "-k", "0", "-o", str(tmp_path / "n.fa")], spark) == 0
     assert not (tmp_path / "n.fa").exists()
+    (tmp_path / "n.fa").write_text(">of an older run\n")
+    assert cli.main(["-i", str(tmp_path / "a.fa"), "-p", "p:CCCCCCCCCC:GGGGGGGGGG", "-k", "0", "-o", str(tmp_path / "n.fa")], spark) == 0
+    assert not (tmp_path / "n.fa").exists() and not list(tmp_path.glob(".*"))
+    assert cli.main(["-i", str(tmp_path / "a.fa"), "-p", f"p:{fwd}:{rev}", "-o", str(tmp_path / "many"), "--folders"], spark) == 0
+    assert "".join(f.read_text() for f in (tmp_path / "many").glob("part-*")).startswith(">ref:p:1\t")
     assert cli.main(["-i", str(tmp_path / "a.fa"), "-p", "p:A", "-o", str(out)], spark) == 1
     with pytest.raises(OutputDirMissing):
         check_writable(str(tmp_path / "no" / "x.fa"))
 
 
+def test_definition_goes_on_in_indented_lines():
+    text = b"LOCUS       X 4 bp\nDEFINITION  An outbreak and the\n            SOURCE of the outbreak,\n            ORGANISM unknown.\nACCESSION   A1\nORIGIN\n        1 acgt\n//\n"
+    (record,) = genbank(text.splitlines())
+    assert record.definition == "An outbreak and the SOURCE of the outbreak, ORGANISM unknown." and record.accession == "A1" and record.seq == "acgt"
+    assert parser_name() == "lines"
+
+
+def test_summary_is_logged(caplog):
+    summary = RunSummary(3, 2, 5, [("p", 4), ("q", 1)], 7, 1, [("r", 5)])
+    with caplog.at_level("INFO", "amplispark"):
+        summary.log()
+    assert [r.message for r in caplog.records] == summary.lines() and "    and 5 more" in summary.lines()
+
+
 def test_sql_functions(spark):
     dna.register(spark)
     register_udtf(spark)
