@@ -13,8 +13,13 @@ from pyspark.sql.window import Window
 from amplispark.runtime import checkpointed, slices
 
 SPAN, TOKEN = 80, 24
-#: Bits of the filter of shared signatures: 16 for each of them, within these bounds (at most 32 MB).
+#: Bits (as a power of two) of the broadcast filter of shared signatures, 16 or more for each of them. Where that takes more
+#: than 1 << MOST_BITS (32 MB), the windows are found by a join instead.
 LEAST_BITS, MOST_BITS = 20, 28
+#: Bits of a hash that give way to the token's position, in every text alike, and starts of windows found at once.
+PLACE_BITS, CHUNK = 24, 1 << 22
+#: Letters of contexts that are compared at once.
+COMPARED = 1 << 22
 #: A signature with more different contexts than this is verified span by span instead of in one task.
 HOT_CONTEXTS = 20_000
 
@@ -51,7 +56,13 @@ def compact_windows(text: np.ndarray, span: int = SPAN, token: int = TOKEN) -> t
     kept as far as it concerns spans: their starts run from the first to the last given. So each span of only
     A, C, G, T belongs to exactly one compact window, and an equal span of another record to one with the same
     signature: one hash is enough for equal spans. On average a window stands for some (span - token) / 2 spans.
+    Of a text longer than CHUNK a window may come in two parts.
     """
+    parts = [_windows(text[lo : lo + CHUNK + span - 1], span, token) for lo in range(0, max(len(text) - span + 1, 1), CHUNK)]
+    return tuple(np.concatenate([part[k] + (np.int64(n * CHUNK) if k else np.int64(0)) for n, part in enumerate(parts)]) for k in range(4))
+
+
+def _windows(text: np.ndarray, span: int, token: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     empty = tuple(np.zeros(0, np.int64) for _ in range(4))
     if len(text) < span:
         return empty
@@ -65,8 +76,7 @@ def compact_windows(text: np.ndarray, span: int = SPAN, token: int = TOKEN) -> t
     value *= MIX[0]
     value ^= value >> np.uint64(32)
     value *= MIX[1]
-    bits = np.uint64(max(1, int(len(value)).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = np.uint64((1 << PLACE_BITS) - 1)
     least = (value & ~low) | np.arange(len(value), dtype=np.uint64)
     width, want = 1, span - token + 1
     while 2 * width <= want:
@@ -111,33 +121,92 @@ def _signatures(span: int, token: int):
 
 
 def _contexts(span: int, token: int, bits):
+    """The windows worth a look with their letters: those whose signature is in the filter."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(bits.value, np.uint8)
         for batch in slices(batches, "_seq"):
             text, begin, raw = _joined(batch.column(1).to_pylist())
             sig, centre, first, last = compact_windows(text, span, token)
             keep = _in_filter(table, sig)
-            sig, centre, first, last = sig[keep], centre[keep], first[keep], last[keep]
-            row = np.searchsorted(begin, first, side="right") - 1
-            ctx = [raw[a:b] for a, b in zip(first.tolist(), (last + span).tolist())]
-            cols = [pa.array(sig), pa.array(batch.column(0).to_numpy()[row]), pa.array(first - begin[row]), pa.array(centre - first), pa.array(ctx, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["sig", "rec", "at", "off", "ctx"])
+            yield _cut_out(batch.column(0).to_numpy(), begin, raw, sig[keep], centre[keep], first[keep], last[keep], span)
 
     return go
 
 
-def _bitmap(size: int):
+def _cut_out(recs: np.ndarray, begin: np.ndarray, raw: bytes, sig: np.ndarray, centre: np.ndarray, first: np.ndarray, last: np.ndarray, span: int) -> pa.RecordBatch:
+    row = np.searchsorted(begin, first, side="right") - 1
+    ctx = [raw[a:b] for a, b in zip(first.tolist(), (last + span).tolist())]
+    cols = [pa.array(sig), pa.array(recs[row]), pa.array(first - begin[row]), pa.array(centre - first), pa.array(ctx, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, names=["sig", "rec", "at", "off", "ctx"])
+
+
+def _places(span: int, token: int):
+    """All windows, without letters."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << (size - 3), np.uint8)
-        for batch in batches:
-            u = batch.column(0).to_numpy().view(np.uint64)
-            for place in (u & np.uint64((1 << size) - 1), (u >> np.uint64(33)) & np.uint64((1 << size) - 1)):
-                np.bitwise_or.at(bits, (place >> np.uint64(3)).astype(np.int64), (1 << (place & np.uint64(7))).astype(np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()], pa.binary())], names=["bits"])
+        for batch in slices(batches, "_seq"):
+            text, begin, _ = _joined(batch.column(1).to_pylist())
+            sig, centre, first, last = compact_windows(text, span, token)
+            row = np.searchsorted(begin, first, side="right") - 1
+            cols = [pa.array(sig), batch.column(0).take(pa.array(row)), pa.array(first - begin[row]), pa.array(centre - first), pa.array(last - first)]
+            yield pa.RecordBatch.from_arrays(cols, names=["sig", "rec", "at", "off", "more"])
 
     return go
 
 
+def _by_join(rows: DataFrame, shared: DataFrame, span: int, token: int) -> DataFrame:
+    """What _contexts gives, without a filter: windows and shared signatures are joined before letters are cut out of the records."""
+    places = rows.mapInArrow(_places(span, token), "sig bigint, rec bigint, at bigint, off bigint, more bigint").join(shared, "sig", "left_semi")
+    letters = F.encode(F.substring("_seq", (F.col("at") + 1).cast("int"), (F.col("more") + span).cast("int")), "utf-8")
+    # rows of one rec may differ, so a place is good only where the letters give its signature
+    cut = places.distinct().join(rows.distinct(), "rec").select("sig", "rec", "at", "off", letters.alias("ctx"))
+
+    def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "ctx"):
+            ctx, off, sig = batch.column("ctx").to_pylist(), batch.column("off").to_numpy(), batch.column("sig").to_numpy()
+            text = np.frombuffer(b"|".join(ctx), np.uint8)
+            got, centre, first, _ = compact_windows(text, span, token)
+            begin = np.cumsum([0, *(len(c) + 1 for c in ctx)])[:-1]
+            at = np.searchsorted(first, begin)
+            at[at == len(first)] = 0
+            whole = np.array([len(c) for c in ctx]) >= span
+            ok = whole & (len(first) > 0)
+            if ok.any():
+                ok &= (first[at] == begin) & (got[at] == sig) & (centre[at] - begin == off)
+            yield batch.filter(pa.array(ok))
+
+    return cut.mapInArrow(right, "sig bigint, rec bigint, at bigint, off bigint, ctx binary")
+
+
+#: Bytes of a piece of the filter.
+PIECE = 1 << 16
+
+
+def _filter(shared: DataFrame, size: int) -> bytes:
+    """The filter of 1 << size bits, made in pieces side by side; the driver only puts the pieces together."""
+    places = F.array(F.expr(f"sig & {(1 << size) - 1}"), F.expr(f"shiftrightunsigned(sig, 33) & {(1 << size) - 1}"))
+    ones = shared.select(F.explode(places).alias("place")).select(F.expr(f"place div {8 * PIECE}").alias("piece"), F.expr(f"cast(place % {8 * PIECE} as int)").alias("bit"))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            piece, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.argsort(piece, kind="stable")
+            edges = np.flatnonzero(np.append(True, piece[order][1:] != piece[order][:-1])) if len(order) else []
+            for of in np.split(bit[order], edges[1:]) if len(order) else []:
+                p = int(piece[order[edges[0]]])
+                held.setdefault(p, np.zeros(PIECE, np.uint8))
+                np.bitwise_or.at(held[p], of >> 3, (1 << (of & 7)).astype(np.uint8))
+                edges = edges[1:]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([b.tobytes() for b in held.values()], pa.binary())], names=["piece", "bits"])
+
+    table = np.zeros(max(PIECE, 1 << (size - 3)), np.uint8)
+    for r in ones.repartition("piece").mapInArrow(pieces, "piece bigint, bits binary").toLocalIterator():
+        table[r["piece"] * PIECE : (r["piece"] + 1) * PIECE] = np.frombuffer(r["bits"], np.uint8)
+    return table[: 1 << (size - 3)].tobytes()
+
+
 def _fingerprints(ctx: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, start and two 64-bit fingerprints of every span of each context."""
     text = np.frombuffer(b"|".join(ctx), np.uint8)
@@ -155,6 +224,8 @@ def _fingerprints(ctx: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray,
         pieces = {}
         while size <= span:
             pieces[size] = (part, power)
+            if 2 * size > span:
+                break
             part = part[: len(part) - size] * np.uint64(power) + part[size:]
             power = power * power % (1 << 64)
             size *= 2
@@ -169,30 +240,45 @@ def _fingerprints(ctx: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def _verify(span: int):
+    """The shared spans of contexts that come ordered by signature, so many signatures at once as make COMPARED letters."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, size = [], 0
+        for batch in batches:
+            for part in slices([batch], "ctx", most=COMPARED):
+                held.append(part)
+                size += part.column("ctx").nbytes
+                if size > COMPARED:
+                    t = pa.Table.from_batches(held).combine_chunks()
+                    sig = t.column("sig").to_numpy()
+                    cut = int(np.searchsorted(sig, sig[-1]))  # the last one may go on
+                    if cut:
+                        yield t.slice(0, cut)
+                    held, size = t.slice(cut).to_batches(), t.slice(cut).column("ctx").nbytes
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got).combine_chunks()
-        ctx = t.column("ctx").to_pylist()
-        low, high = t.column("low").to_numpy(), t.column("high").to_numpy()
-        row, start, a, b = _fingerprints(ctx, span)
-        order = np.lexsort((b, a))
-        edge = np.ones(len(order), bool)
-        edge[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
-        at = np.nonzero(edge)[0]
-        own = row[order]
-        both = np.minimum.reduceat(low[own], at) != np.maximum.reduceat(high[own], at)
-        shared = np.zeros(len(order), bool)
-        shared[order] = both[np.cumsum(edge) - 1]
-        k = np.nonzero(shared)[0]
-        if not len(k):
-            return
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1] + 1) | (row[k[1:]] != row[k[:-1]])
-        s, e = k[new], k[np.append(new[1:], True)]
-        sig, cid = t.column("sig").to_numpy(), t.column("cid").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(sig[row[s]]), pa.array(cid[row[s]]), pa.array(start[s]), pa.array(start[e] + span)], names=["sig", "cid", "a", "b"])
+        for t in whole(b for b in batches if b.num_rows):
+            ctx = t.column("ctx").to_pylist()
+            low, high, of = (t.column(c).to_numpy() for c in ("low", "high", "sig"))
+            row, start, a, b = _fingerprints(ctx, span)
+            order = np.lexsort((b, a))
+            edge = np.ones(len(order), bool)
+            edge[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+            at = np.nonzero(edge)[0]
+            own = row[order]
+            both = np.minimum.reduceat(low[own], at) != np.maximum.reduceat(high[own], at)
+            shared = np.zeros(len(order), bool)
+            shared[order] = both[np.cumsum(edge) - 1]
+            k = np.nonzero(shared)[0]
+            if not len(k):
+                continue
+            new = np.ones(len(k), bool)
+            new[1:] = (k[1:] != k[:-1] + 1) | (row[k[1:]] != row[k[:-1]])
+            s, e = k[new], k[np.append(new[1:], True)]
+            cid = t.column("cid").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(of[row[s]]), pa.array(cid[row[s]]), pa.array(start[s]), pa.array(start[e] + span)], names=["sig", "cid", "a", "b"])
 
     return go
 
@@ -215,8 +301,8 @@ def shared_spans(records: DataFrame, span: int = SPAN, token: int = TOKEN, hot:
     nothing. Null and short sequences have no shared position, nor has a null rec. Other columns are ignored.
 
     1. Each record's compact windows give their signatures; a partial and a final aggregate keep those of more
-       than one rec. 2. A filter of bounded size over them lets through, in a second scan, the windows worth a look,
-       with their letters. 3. Equal contexts are collapsed, different ones with the same signature compared by 128-bit
+       than one rec. 2. A filter of bounded size over them lets through, in a second scan, the windows worth a look, with
+       their letters; if they are too many for it, windows are joined to them by signature, and then to the letters. 3. Equal contexts are collapsed, different ones with the same signature compared by 128-bit
        fingerprints of their spans. 4. What is found is joined back to the windows and merged for each record.
     No pairs are made. Copies collapse in the aggregates; a signature with very many different contexts is taken
     apart into its spans, which are aggregated like signatures.
@@ -226,22 +312,21 @@ def shared_spans(records: DataFrame, span: int = SPAN, token: int = TOKEN, hot:
     signatures = rows.mapInArrow(_signatures(span, token), "sig bigint, rec bigint")
     spread = signatures.groupBy("sig").agg(F.min("rec").alias("low"), F.max("rec").alias("high")).where("low <> high").select("sig")
     spread = checkpointed(spread)
-    size = min(MOST_BITS, max(LEAST_BITS, (16 * spread.count()).bit_length()))
-    bits = np.zeros(1 << (size - 3), np.uint8)
-    for r in spread.coalesce(8).mapInArrow(_bitmap(size), "bits binary").toLocalIterator():
-        bits |= np.frombuffer(r["bits"], np.uint8)
-    shipped = spark.sparkContext.broadcast(bits.tobytes())
-
-    windows = rows.mapInArrow(_contexts(span, token, shipped), "sig bigint, rec bigint, at bigint, off bigint, ctx binary")
+    size = max(LEAST_BITS, (16 * spread.count()).bit_length())
+    if size <= MOST_BITS:
+        shipped = spark.sparkContext.broadcast(_filter(spread, size))
+        windows = rows.mapInArrow(_contexts(span, token, shipped), "sig bigint, rec bigint, at bigint, off bigint, ctx binary")
+    else:
+        windows = checkpointed(_by_join(rows, spread, span, token))
     windows = windows.withColumn("cid", F.xxhash64("off", "ctx"))
     distinct = windows.groupBy("sig", "cid").agg(F.first("ctx").alias("ctx"), F.min("rec").alias("low"), F.max("rec").alias("high"))
     distinct = checkpointed(distinct)
     crowded = distinct.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("sig")
     if crowded.isEmpty():
-        found = distinct.repartition("sig").mapInArrow(_verify(span), "sig bigint, cid bigint, a bigint, b bigint")
+        found = distinct.repartition("sig").sortWithinPartitions("sig").mapInArrow(_verify(span), "sig bigint, cid bigint, a bigint, b bigint")
     else:
         calm = distinct.join(crowded, "sig", "left_anti")
-        found = calm.repartition("sig").mapInArrow(_verify(span), "sig bigint, cid bigint, a bigint, b bigint")
+        found = calm.repartition("sig").sortWithinPartitions("sig").mapInArrow(_verify(span), "sig bigint, cid bigint, a bigint, b bigint")
         parts = distinct.join(crowded, "sig", "left_semi").mapInArrow(_exploded(span), "sig bigint, cid bigint, a bigint, fa bigint, fb bigint, low bigint, high bigint")
         twice = parts.groupBy("fa", "fb").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h").select("fa", "fb")
         found = found.unionByName(parts.join(twice, ["fa", "fb"]).select("sig", "cid", "a", (F.col("a") + span).alias("b")))

@@ -100,8 +100,26 @@ def test_visits_of_one_key_grow_slowly():
     assert computed[1] < 6 * computed[0] and computed[1] < 4000 * 4000 / 2 * 0.1
 
 
-@pytest.mark.parametrize("hot", [20_000, 0])
-def test_shared_spans_against_brute_force(spark, hot):
+def test_signatures_are_the_same_in_texts_of_any_length(monkeypatch):
+    rng = random.Random(18)
+    shared = dna(rng, 200)
+    of = []
+    for before in (0, 100, 70_000):
+        text = np.frombuffer((dna(rng, before) + shared + dna(rng, before)).encode(), np.uint8)
+        sig, centre, first, last = spans.compact_windows(text)
+        inside = (first <= before + 120) & (last >= before)
+        of.append([(s, c - before, max(a, before) - before, min(b, before + 120) - before) for s, c, a, b in zip(sig[inside], centre[inside], first[inside], last[inside])])
+    assert of[0] == of[1] == of[2]
+    text = np.frombuffer(dna(rng, 3000).encode(), np.uint8)
+    want = {s: (x, c) for x, c, a, b in zip(*spans.compact_windows(text)) for s in range(a, b + 1)}
+    monkeypatch.setattr(spans, "CHUNK", 500)
+    assert {s: (x, c) for x, c, a, b in zip(*spans.compact_windows(text)) for s in range(a, b + 1)} == want and len(want) == 2921
+
+
+@pytest.mark.parametrize("hot, bits, compared", [(20_000, 28, 1 << 22), (0, 28, 1 << 22), (20_000, 1, 300)])
+def test_shared_spans_against_brute_force(spark, monkeypatch, hot, bits, compared):
+    monkeypatch.setattr(spans, "MOST_BITS", bits)
+    monkeypatch.setattr(spans, "COMPARED", compared)
     rng = random.Random(6)
     roots = [dna(rng, 500) for _ in range(4)]
     seqs = [None, "", "ACGT", "A" * 200, "A" * 90, roots[0], roots[0], roots[0][:79], roots[1][:300] + "N" + roots[1][301:], "é" + roots[1], (roots[2][:90] * 2)]
