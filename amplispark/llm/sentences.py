@@ -112,12 +112,22 @@ def _classes() -> np.ndarray:
 
 TABLE = _classes()
 
-# Abbreviations after which a sentence goes on, whatever follows.
+# Abbreviations after which a sentence goes on, whatever follows. Titles, references, and words of
+# German, French, Spanish, Italian, Portuguese, Dutch, Polish, Czech, Turkish, Russian and Greek.
 ABBREVIATIONS = """
-Abb Abs Art Bd Dr Dra Eq Fig Figs Mag Mlle Mme Mr Mrs Ms Nr Prof Ref Sect Sec Sr Sra St Tab Vol
-abb al app approx art bd ca cap cf env etw ff fig figs ggf núm op pag pág pp ref resp sec sect tab viz vgl vol vs
-EE UU ej
-рис табл см стр гл ср им др проф акад илл
+Mr Mrs Ms Messrs Dr Prof Rev Hon St Capt Lt Col Gen Gov Sen Rep Sgt Cpl Maj Adm Cmdr Supt
+Abb Abs Art Bd Eq Fig Figs Mag Nr Ref Sect Sec Tab Vol
+abb al app approx Approx art bd ca cap cf Cf ch chap dept ed eds env esp est etw ff fig figs incl excl op pag pp ref resp sec sect tab viz vgl Vgl vol vs
+bzw Bzw evtl ggf ggfs inkl exkl zzgl Dipl Ing Hr Fr Frl Hrsg
+Mlle Mme MM Mmes Mlles Mgr
+Dra Sr Sra Sres Sras Dña Ud Uds Lic Gral núm pág págs aprox EE UU ej
+Sig Sigg Dott Avv Geom Rag pagg
+Exmo Exma Eng
+bijv Bijv dhr mevr Dhr Mevr drs blz
+zob Zob rys ul dr inż mgr tj np tzw tzn wg
+např tzv obr
+Doç Yrd Av bkz Bkz
+рис табл см стр гл ср им др проф акад илл напр тел обл доц
 βλ πίν πιν αρ εικ σελ κεφ κ δρ
 """.split()
 # After these a number stands and the sentence goes on.
@@ -125,8 +135,6 @@ BEFORE_NUMBERS = "No no num art p pp n nº Bl Bd тыс".split()
 # German words after which a number with a stop is an ordinal, and months.
 BEFORE_ORDINALS = "der die das dem den des am im vom zum zur beim ab bis seit".split()
 MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()
-# Single letters that are units or end an abbreviation that may end a sentence.
-MAY_END = "нгN"
 
 DOT = regex.compile(r"\.")
 LOUD = regex.compile(r"(?<=[\p{L}\p{Nd})\]])[!?](?=\p{Lu})")
@@ -182,7 +190,8 @@ def _goes_on(text: str, i: int) -> bool:
     if len(word) == 1:
         if prior in "°%'’_-" or text[max(0, j - 2) : j] in ("% ", "%\u00a0", "%\u202f", "%\n"):
             return False
-        return not (word in MAY_END and text[i + 1 : i + 20].lstrip()[:1].isupper())
+        # a letter after a number is a unit, with which a sentence may end
+        return not (text[max(0, j - 4) : j].rstrip(" \u00a0\u202f")[-1:].isdigit() and text[i + 1 : i + 20].lstrip()[:1].isupper())
     if "." in word:
         return not word.endswith(TIME_OF_DAY) and all(len(x) <= 1 for x in word.replace("-", ".").split("."))
     return False
@@ -196,7 +205,7 @@ def classes(text: str) -> np.ndarray:
         i = m.start()
         c = text[i + 1] if i + 1 < n else " "
         if c.isupper():
-            if i + 2 < n and text[i + 2].islower() and i and ((p := text[i - 1]).islower() or p in ")]%”»" or text[i - 2 : i] == "°C"):
+            if i + 2 < n and text[i + 2].islower() and i and ((p := text[i - 1]).islower() or p in ")]%”»" or text[i - 2 : i - 1] == "°"):
                 kind[i] = FULL
         elif not c.isalnum() and _goes_on(text, i):
             kind[i] = OTHER

@@ -275,6 +275,15 @@ def test_sentences_of_cased_and_spaced_scripts():
             assert [text[a:b] for a, b in split([text])[0]] == parts
 
 
+def test_sentences_of_texts_unlike_the_samples():
+    for parts in (
+        ["Capt. Lee and Lt. Roy met Gov. Hale.", "They left."], ["Approx. 5 min later it stopped.", "Fine."], ["Zob. rys. 3.", "Koniec."], ["Zie bijv. Piet en dhr. Jansen.", "Klaar."],
+        ["It weighs 5 g.", "The rest is gone."], ["J. Smith came.", "A. B. Cole left."], ["Es fiel auf 3 °C.", "Dann stieg es."], ["El Lic. Ruiz y la Dra. Paz salieron.", "Nadie más."],
+    ):
+        text = " ".join(parts)
+        assert [text[a:b] for a, b in split([text])[0]] == parts
+
+
 def test_sentences_without_spaces_and_units():
     zh = ["“凝胶是空的。”操作员说。", "他们问：“长度够吗？”", "真的吗？！", "共9.5管。"]
     ja = ["「長さは？」と聞かれた。", "原点をまたぐ…が一致する。"]
