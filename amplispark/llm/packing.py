@@ -23,8 +23,12 @@ K1, B = 1.2, 0.75
 WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 #: Longer runs of letters (scripts without spaces, sequences) are indexed by parts of so many letters.
 PART = 12
-#: The least hashes of a text's terms, by which near texts come to the same shard.
+#: The least hashes of a text's terms, by which near texts of one cluster come to the same shard.
 ROUTE = 3
+#: Clusters of texts, fitted on at most FITTED texts (by hash), over vectors of DIMENSIONS numbers; terms are counted in 1 << COUNTERS classes for their weights.
+CLUSTERS, FITTED, DIMENSIONS, COUNTERS, ROUNDS = 256, 8_192, 256, 16, 8
+#: Neighbours that are looked at in one go.
+BEST = 128
 #: Texts looked at for each bound between shards.
 SAMPLE = 50
 
@@ -88,6 +92,12 @@ class Index:
         at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
         return np.bincount(self.item[at], self.adds[at], self.n)
 
+    def keep(self, unused: np.ndarray) -> None:
+        """Takes the other items out of the lists."""
+        stay = unused[self.item]
+        self.at = np.concatenate([[0], np.cumsum(stay)])[self.at]
+        self.item, self.adds = self.item[stay], self.adds[stay]
+
 
 def fill(sizes: np.ndarray, index: Index, capacity: int) -> list[list[int]]:
     """Items (1 <= size <= capacity) in containers.
@@ -120,18 +130,30 @@ def fill(sizes: np.ndarray, index: Index, capacity: int) -> list[list[int]]:
         return int(sizes[i])
 
     out = []
+    left = listed = len(sizes)
     for seed in order.tolist():
         if not unused[seed]:
             continue
+        if 2 * left < listed:
+            index.keep(unused)
+            listed = left
         box: list[int] = []
         room = capacity - take(seed, box)
         score = index.scores(seed)
         near = np.nonzero(unused & (score > 0) & (sizes <= room))[0]
-        for i in near[np.argsort(-score[near], kind="stable")].tolist():
-            if sizes[i] <= room:
-                room -= take(i, box)
+        while len(near):  # best first, some at a time, until none of the rest fits
+            if len(near) > BEST:
+                least = np.partition(score[near], len(near) - BEST)[len(near) - BEST]
+                now, near = near[score[near] >= least], near[score[near] < least]
+            else:
+                now, near = near, near[:0]
+            for i in now[np.argsort(-score[now], kind="stable")].tolist():
+                if sizes[i] <= room:
+                    room -= take(i, box)
+            near = near[sizes[near] <= room]
         while room > 0 and (k := largest(int(np.searchsorted(ranked, room, side="right")) - 1)) >= 0:
             room -= take(int(ascending[k]), box)
+        left -= len(box)
         out.append(box)
     return out
 
@@ -170,31 +192,106 @@ def _pack(capacity: int, texts: int, mean: float):
     return run
 
 
+def _mixed(terms: np.ndarray) -> np.ndarray:
+    return terms.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a list column, and each one's row."""
+    size = np.array([len(x) for x in lists], np.int64)
+    return np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(size)), size)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's texts hold a term of each class."""
+    counts = np.zeros(1 << COUNTERS, np.int64)
+    for batch in batches:
+        counts += np.bincount((_mixed(batch.column(0).flatten().to_numpy()) >> np.uint64(64 - COUNTERS)).astype(np.int64), minlength=len(counts))
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some])], names=["kind", "n"])
+
+
+class Clusters:
+    """Groups of texts with like terms: centroids in an order in which each is followed by its nearest."""
+
+    def __init__(self, counts: np.ndarray, texts: int):
+        self.weight = np.log1p((texts - counts + 0.5).clip(0.5) / (counts + 0.5)).astype(np.float32)
+        self.centres = np.zeros((0, DIMENSIONS), np.float32)
+
+    def vectors(self, terms, times) -> np.ndarray:
+        """One vector of length 1 for each text: its terms' weights, added up with either sign by hash."""
+        every, row = _flat(terms)
+        often, _ = _flat(times)
+        mixed = _mixed(every)
+        value = self.weight[(mixed >> np.uint64(64 - COUNTERS)).astype(np.int64)] * (often / (often + K1)) * np.where(mixed & np.uint64(1 << 20), 1.0, -1.0)
+        at = row * DIMENSIONS + ((mixed >> np.uint64(24)) % np.uint64(DIMENSIONS)).astype(np.int64)
+        out = np.bincount(at, value, len(terms) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.float32)
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+    def fit(self, terms, times) -> None:
+        points = self.vectors(terms, times)
+        k = min(CLUSTERS, len(points))
+        if not k:
+            return
+        centres = points[np.linspace(0, len(points) - 1, k).astype(np.int64)].copy()
+        for _ in range(ROUNDS):
+            of = np.argmax(points @ centres.T, axis=1)
+            size = np.bincount(of, minlength=k)
+            total = np.zeros_like(centres)
+            np.add.at(total, of, points)
+            centres = np.where(size[:, None] > 0, total, centres)
+            centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
+        near, left, chain = centres @ centres.T, set(range(1, k)), [0]
+        while left:
+            chain.append(max(left, key=lambda j: near[j, chain[-1]]))
+            left.remove(chain[-1])
+        self.centres = centres[chain]
+
+    def of(self, terms, times) -> np.ndarray:
+        if not len(self.centres):
+            return np.zeros(len(terms), np.int64)
+        return np.argmax(self.vectors(terms, times) @ self.centres.T, axis=1)
+
+
 def placed(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """_id, n_tokens, _bytes, _route, _terms, _times and _shard of each text.
 
-    Shards are ranges of the least hashes of a text's terms, which are the same in texts with many terms in common
-    (min-hash); what has the same ones (copies, say) lies in neighbouring ranges by a hash of the id. The bounds
-    come from a fixed sample and cut it into equal shares of bytes, so that no source or language makes a large shard.
+    Shards are ranges of routes: a text's cluster, the least hashes of its terms, which are the same in texts with many
+    terms in common (min-hash), and a hash of the id, so that copies lie in neighbouring ranges. Clusters are fitted on a
+    bounded sample; every text is put into one. The bounds between shards come from a sample of SAMPLE texts a shard and cut
+    it into equal shares of bytes, so that no source, language or cluster makes a large shard.
     """
     sized = encode(texts.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_id", "_text", path, carry=("_text",), counts=True)
     kind = texts.schema[id_col].dataType.simpleString()
     sized = checkpointed(sized.select("_id", F.col("n_tokens").cast("bigint"), "_text").mapInArrow(_hashed, f"_id {kind}, n_tokens bigint, _bytes bigint, _route binary, _terms array<bigint>, _times array<int>"))
     n, total = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
     shards = max(1, -(-int(total) // SHARD_BYTES))
+    if shards == 1:
+        return sized.withColumn("_shard", F.lit(0).cast("bigint"))
+
+    counts = np.zeros(1 << COUNTERS, np.int64)
+    for r in sized.select("_terms").mapInArrow(_counted, "kind int, n bigint").groupBy("kind").agg(F.sum("n").alias("n")).collect():  # at most 1 << COUNTERS rows
+        counts[r["kind"]] = r["n"]
+    clusters = Clusters(counts, n)
+    few = sized.where(F.size("_terms") > 0).select("_terms", "_times", F.xxhash64("_id", "_route").alias("h")).orderBy("h").limit(FITTED).toPandas()
+    clusters.fit(few["_terms"].tolist(), few["_times"].tolist())
+
+    @F.pandas_udf("binary")
+    def cluster(terms: pd.Series, times: pd.Series) -> pd.Series:
+        of = [clusters.of(terms[lo : lo + 5_000].tolist(), times[lo : lo + 5_000].tolist()) for lo in range(0, len(terms), 5_000)]
+        return pd.Series([int(k).to_bytes(2, "big") for k in np.concatenate([*of, np.zeros(0, np.int64)])])
+
     every = max(1, n // (shards * SAMPLE))
-    route = F.concat("_route", F.unhex(F.lpad(F.hex(F.xxhash64("_id")), 16, "0")))
-    bounds: list[bytes] = []
-    if shards > 1:
-        seen = sorted((bytes(r[0]), r[1]) for r in sized.where(F.pmod(F.xxhash64(F.lit(1), "_id", "_route"), F.lit(every)) == 0).select(route, "_bytes").toLocalIterator())
-        upto = np.cumsum([b for _, b in seen])
-        bounds = [seen[min(int(np.searchsorted(upto, upto[-1] * k / shards)), len(seen) - 1)][0] for k in range(1, shards)] if seen else []
+    sized = sized.withColumn("_route", F.concat(cluster("_terms", "_times"), "_route", F.unhex(F.lpad(F.hex(F.xxhash64("_id")), 16, "0"))))
+    seen = sorted((bytes(r[0]), r[1]) for r in sized.where(F.pmod(F.xxhash64(F.lit(1), "_id", "_times"), F.lit(every)) == 0).select("_route", "_bytes").toLocalIterator())
+    upto = np.cumsum([b for _, b in seen])
+    bounds = [seen[min(int(np.searchsorted(upto, upto[-1] * k / shards)), len(seen) - 1)][0] for k in range(1, shards)] if seen else []
 
     @F.pandas_udf("bigint")
     def shard(at: pd.Series) -> pd.Series:
         return at.map(lambda x: bisect_right(bounds, bytes(x))).astype("int64")
 
-    return sized.withColumn("_shard", shard(route))
+    return checkpointed(sized.withColumn("_shard", shard("_route")))  # once: what follows must see the same shards
 
 
 def pack(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:

@@ -34,6 +34,16 @@ def p8_pack(spark, sf):
     return pack(table(spark, sf, "documents"))
 
 
+def p8_check(spark, sf):
+    """Of p8_pack: how many documents are in it, whether each container holds at most 2,048 tokens, whether texts are whole unless larger than one."""
+    packed = p8_pack(spark, sf).withColumn("size", F.col("token_end") - F.col("token_start"))
+    full = packed.groupBy("container_id").agg((F.sum("size") <= 2048).alias("fits")).agg(F.min("fits").alias("fits"))
+    last = F.max("token_end")
+    docs = packed.groupBy("doc_id").agg(((F.sum("size") == last) & (F.min("token_start") == 0) & ((last > 2048) | (F.count(F.lit(1)) == 1))).alias("whole"))
+    docs = docs.agg(F.count(F.lit(1)).alias("n_documents"), F.min("whole").alias("whole"))
+    return docs.join(F.broadcast(full), how="cross")  # one row each
+
+
 def p9_found(spark, sf):
     return sentences(table(spark, sf, "documents"))
 
@@ -78,5 +88,6 @@ QUERIES = {
     "p6_found": (p6_found, P6_SQL),
     "p7_ids": (p7_ids, None),
     "p8_pack": (p8_pack, None),
+    "p8_check": (p8_check, "SELECT count(DISTINCT doc_id) AS n_documents, true AS whole, true AS fits FROM documents"),
     "p9_found": (p9_found, None),
 }
