@@ -17,6 +17,8 @@ for _c, _b in CODES.items():
     BITS[ord(_c)] = BITS[ord(_c.lower())] = _b
 #: Letters of text searched at once.
 TILE = 1 << 22
+#: Letters of a piece that are looked for in all text; letters below which a piece is too short to be worth it.
+DENSE, SHORTEST = 3, 4
 
 
 def to_bits(text: str) -> np.ndarray:
@@ -57,6 +59,57 @@ def end_costs(bits: np.ndarray, pattern: np.ndarray, k: int, subset: bool = Fals
     return row
 
 
+def _places(fits: dict[int, np.ndarray], bits: np.ndarray, piece: list[int], subset: bool) -> np.ndarray:
+    """Where the letters of a piece stand one after another: the first of them over all text, the others where those fit."""
+    n = len(bits) - len(piece) + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    for letter in piece:
+        if letter not in fits:
+            fits[letter] = _mismatch(bits, letter, subset) == 0
+    alive = fits[piece[0]][:n]
+    for j in range(1, min(DENSE, len(piece))):
+        alive = alive & fits[piece[j]][j : j + n]
+    at = np.flatnonzero(alive)
+    for j in range(DENSE, len(piece)):
+        at = at[fits[piece[j]][at + j]]
+    return at
+
+
+def ends_within(bits: np.ndarray, pattern: np.ndarray, k: int, subset: bool = False, fits: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The positions at which a match of at most k edits ends, ascending, and their costs.
+
+    Of k + 1 pieces of the pattern one at least stands in a match without an edit. So the edit matrix is needed only near the
+    places of the pieces, which are laid out side by side, apart by blanks.
+    """
+    fits = {} if fits is None else fits
+    m = len(pattern)
+    if m < SHORTEST * (k + 1):
+        cost = end_costs(bits, pattern, k, subset)
+        at = np.flatnonzero(cost <= k)
+        return at, cost[at]
+    cuts = np.linspace(0, m, k + 2).astype(np.int64).tolist()
+    letters = pattern.tolist()
+    if not k:
+        at = _places(fits, bits, letters, subset) + m - 1
+        return at, np.zeros(len(at), np.int8)
+    last = np.concatenate([_places(fits, bits, letters[a:b], subset) + (m - a - 1 + k) for a, b in zip(cuts, cuts[1:])])
+    if not len(last):
+        return last, np.zeros(0, np.int8)
+    last.sort()
+    begin = np.maximum(last - 2 * k - m - k, 0)
+    new = np.append(True, begin[1:] > last[:-1])
+    begin, end = begin[new], np.minimum(last[np.append(new[1:], True)] + 1, len(bits))
+    size = end - begin + k + 1
+    where = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    blank = where >= np.repeat(end, size)
+    near = bits[np.minimum(where, len(bits) - 1)]
+    near[blank] = 0
+    cost = end_costs(near, pattern, k, subset)
+    hit = np.flatnonzero((cost <= k) & ~blank)
+    return where[hit], cost[hit]
+
+
 def pick_ends(at: np.ndarray, cost: np.ndarray, report: str) -> np.ndarray:
     """Which of the ends (ascending positions within k, with their costs) are reported.
 
@@ -159,10 +212,10 @@ class Texts:
         for lo in range(0, len(self.bits), TILE):
             a = max(0, lo - m - k)
             tile = self.bits[a : lo + TILE]
-            cost = end_costs(tile, pattern, k, subset, self.cache if len(self.bits) <= TILE else None)[lo - a :]
-            near = np.nonzero(cost <= k)[0]
-            ats.append(near + lo)
-            costs.append(cost[near])
+            near, cost = ends_within(tile, pattern, k, subset, self.cache if len(self.bits) <= TILE else None)
+            own = near >= lo - a
+            ats.append(near[own] + a)
+            costs.append(cost[own])
         at, cost = np.concatenate(ats), np.concatenate(costs)
         text = np.searchsorted(self.begin, at, side="right") - 1
         inside = (text >= 0) & (at < self.begin[text] + self.size[text])
@@ -173,7 +226,7 @@ class Texts:
             if max(m - d, 0) / m < config.min_identity:
                 continue
             b = int(self.begin[t])
-            size, cigar = align(pattern, self.bits[max(b, end - m - k) : end], d, subset)
+            size, cigar = align(pattern, self.bits[max(b, end - m - k) : end], d, subset) if d else (m, f"{m}=")
             out.append((t, Match(end - b - size, end - b, d, "+", cigar, max(m - d, 0) / m)))
         return out
 

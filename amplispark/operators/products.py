@@ -125,12 +125,18 @@ def _worker(config: PcrConfig, hits: Callable[[list[str]], Found]):
     return go
 
 
+#: Bytes of input, by the optimizer's estimate, for each core, below which records are spread over the cores before they are searched.
+SMALL_INPUT = 64 << 20
+
+
 def _spread(recs: DataFrame) -> DataFrame:
-    """The records in enough partitions for all cores. Searching costs far more than moving a few files' records; where there are many files nothing is moved."""
+    """The records in enough partitions for all cores. Searching costs far more than moving a small table's records; a large one has
+    partitions enough and isn't moved. What the optimizer estimates decides, so no job runs; streams stay as they are."""
     if recs.isStreaming:
         return recs
     cores = recs.sparkSession.sparkContext.defaultParallelism
-    return recs.repartition(4 * cores, "rec_id") if recs.rdd.getNumPartitions() < 2 * cores else recs
+    size = int(recs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return recs.repartition(4 * cores, "rec_id") if size < SMALL_INPUT * cores else recs
 
 
 def _products(recs: DataFrame, config: PcrConfig, hits: Callable[[list[str]], Found]) -> DataFrame:
