@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from amplispark.config import MatchConfig, PcrConfig
-from amplispark.functions.dna import AZ, LOWER_AZ, n_fraction, original_pos, rc_text
+from amplispark.functions.dna import AZ, LOWER_AZ, original_pos, rc_text
 from amplispark.operators.kernel import Match, Texts, to_bits
 from amplispark.runtime import slices
 from amplispark.sources.primers import Primer, PrimerPair
@@ -26,6 +26,8 @@ RAW_SQL = f"rec_id bigint, reference_header string, source_file string, len bigi
 UPPER = str.maketrans(LOWER_AZ, AZ)
 #: Product rows that a worker holds before it hands them over.
 HELD = 5_000
+#: Pairs of matches of a record that are filtered at once.
+PAIRED = 1 << 19
 
 
 def records(df: DataFrame, rec_id: str, header: str, sequence: str, source_file: str | None = None) -> DataFrame:
@@ -34,10 +36,6 @@ def records(df: DataFrame, rec_id: str, header: str, sequence: str, source_file:
     return df.where(F.col(sequence).isNotNull()).select(F.col(rec_id).cast("bigint").alias("rec_id"), F.col(header).alias("header"), source.alias("source_file"), F.col(sequence).alias("sequence"))
 
 
-def _as_dict(m: Match, strand: str, shift: int = 0) -> dict:
-    return {"start": m.start + shift, "end": m.end + shift, "edit_distance": m.edit_distance, "strand": strand, "cigar": m.cigar, "identity": m.identity}
-
-
 def _searched(seqs: list[str], config: PcrConfig, strand: str) -> list[str]:
     """What is searched: the sequence or its reverse complement, extended where it is circular."""
     if strand == "-":
@@ -78,27 +76,49 @@ def _pair_hits(texts: list[str], primers: Sequence[PrimerPair], config: PcrConfi
 def _pool_hits(texts: list[str], primers: Sequence[Primer], config: PcrConfig, self_match: bool) -> Found:
     """Each match of each primer with each match of the reverse complement of each (other) primer that ends further on.
 
-    The matches of a record are sorted by end, so the partners of one are a range of them.
+    The matches of a record are sorted by end, so the partners of one are a range of them. Pairs are filtered as arrays, as a long
+    run of N alone, which any primer matches, makes millions.
     """
     laid = Texts([to_bits(t) for t in texts], config.match.max_errors)
-    fwd = [laid.find(to_bits(p.sequence), config.match) if p.sequence else [] for p in primers]
+    fwd: dict[int, list[tuple[int, Match]]] = {}
     rev: dict[int, list[tuple[int, int, Match]]] = {}
     for j, p in enumerate(primers):
-        for t, m in laid.find(to_bits(rc_text(p.sequence)), config.match) if p.sequence else []:
-            rev.setdefault(t, []).append((m.end, j, m))
-    ends = {}
-    for t, ms in rev.items():
-        ms.sort(key=lambda x: x[:2])
-        ends[t] = np.array([m[0] for m in ms])
-    for i, hits in enumerate(fwd):
-        for t, f in hits:
-            if t not in ends:
-                continue
-            lo = np.searchsorted(ends[t], max(f.start + 1, f.start + config.min_len))
-            hi = np.searchsorted(ends[t], f.start + config.max_len, side="right")
-            for _, j, r in rev[t][lo:hi]:
-                if self_match or i != j:
-                    yield t, f"{primers[i].name}+{primers[j].name}", i, j, "", f, r
+        if p.sequence:
+            for t, m in laid.find(to_bits(p.sequence), config.match):
+                fwd.setdefault(t, []).append((j, m))
+            for t, m in laid.find(to_bits(rc_text(p.sequence)), config.match):
+                rev.setdefault(t, []).append((m.end, j, m))
+    for t in sorted(fwd.keys() & rev.keys()):
+        ahead, back = fwd[t], sorted(rev[t], key=lambda x: x[:2])
+        i, start, end = (np.array(c, np.int64) for c in zip(*((i, m.start, m.end) for i, m in ahead)))
+        stop, j, begin = (np.array(c, np.int64) for c in zip(*((e, j, m.start) for e, j, m in back)))
+        lo = np.searchsorted(stop, np.maximum(start + 1, start + config.min_len))
+        upto = np.cumsum(np.maximum(np.searchsorted(stop, start + config.max_len, side="right") - lo, 0))
+        passes, done = _passes(texts[t], config), 0
+        while done < len(ahead):
+            before = int(upto[done - 1]) if done else 0
+            to = max(done + 1, int(np.searchsorted(upto, before + PAIRED, side="right")))
+            n = np.diff(upto[done:to], prepend=before)
+            f = np.repeat(np.arange(done, to), n)
+            r = np.repeat(lo[done:to] - np.cumsum(n) + n, n) + np.arange(len(f))
+            good = passes(start[f], end[f], begin[r], stop[r]) & (self_match | (i[f] != j[r]))
+            for x, y in zip(f[good].tolist(), r[good].tolist()):
+                (a, m), (_, b, w) = ahead[x], back[y]
+                yield t, f"{primers[a].name}+{primers[b].name}", a, b, "", m, w
+            done = to
+
+
+def _passes(text: str, config: PcrConfig) -> Callable:
+    """Which products (arrays of the starts and ends of both matches) keep to the bounds of length and share of N."""
+    ns = np.concatenate([[0], np.cumsum(np.frombuffer(text.encode("latin-1", "replace"), np.uint8) == ord("N"))])
+
+    def passes(start, end, begin, stop):
+        a, b = (end, begin) if config.trim_primers else (start, stop)
+        size = stop - start
+        good = (size >= config.min_len) & (size <= config.max_len) & (a < b)
+        return good & ((ns[b] - ns[np.minimum(a, b)]) / np.maximum(b - a, 1) <= config.max_n_fraction)
+
+    return passes
 
 
 def _worker(config: PcrConfig, hits: Callable[[list[str]], Found]):
@@ -106,25 +126,36 @@ def _worker(config: PcrConfig, hits: Callable[[list[str]], Found]):
         for batch in slices(batches, "sequence"):
             ids, heads, files, seqs = (c.to_pylist() for c in batch.columns)
             seqs = [(s or "").translate(UPPER) for s in seqs]
-            rows: list[dict] = []
+            rows: list[tuple] = []
             for strand in _strands(config):
                 texts = _searched(seqs, config, strand)
+                last, passes = -1, None
                 for t, name, i, j, _, f, r in hits(texts):
-                    if not config.min_len <= r.end - f.start <= config.max_len:
+                    if t != last:
+                        last, passes = t, _passes(texts[t], config)
+                    if not passes(f.start, f.end, r.start, r.end):
                         continue
                     a, b = (f.end, r.start) if config.trim_primers else (f.start, r.end)
-                    if a >= b:
-                        continue
-                    rows.append({"rec_id": ids[t], "reference_header": heads[t], "source_file": files[t], "len": len(seqs[t]), "strand": strand, "primer_idx": i, "rev_idx": j, "primer_name": name, "sequence": texts[t][a:b], "fwd": _as_dict(f, strand), "rev": _as_dict(r, strand)})
+                    rows.append((ids[t], heads[t], files[t], len(seqs[t]), strand, i, j, name, texts[t][a:b], f, r))
                     if len(rows) >= HELD:
-                        yield pa.RecordBatch.from_pylist(rows, schema=_RAW)
+                        yield _batch(rows)
                         rows = []
             if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=_RAW)
+                yield _batch(rows)
 
     return go
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """The rows column by column."""
+    *plain, fwd, rev = zip(*rows)
+    sides = []
+    for matches_, strands in ((fwd, plain[4]), (rev, plain[4])):
+        parts = ([m.start for m in matches_], [m.end for m in matches_], [m.edit_distance for m in matches_], strands, [m.cigar for m in matches_], [m.identity for m in matches_])
+        sides.append(pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts, _MATCH)], fields=list(_MATCH)))
+    return pa.RecordBatch.from_arrays([*(pa.array(x, f.type) for x, f in zip(plain, _RAW)), *sides], schema=_RAW)
+
+
 #: Bytes of input, by the optimizer's estimate, for each core, below which records are spread over the cores before they are searched.
 SMALL_INPUT = 64 << 20
 
@@ -141,7 +172,6 @@ def _spread(recs: DataFrame) -> DataFrame:
 
 def _products(recs: DataFrame, config: PcrConfig, hits: Callable[[list[str]], Found]) -> DataFrame:
     raw = _spread(recs.select(*RECORD).where(F.length("sequence") > 0)).mapInArrow(_worker(config, hits), RAW_SQL)
-    raw = raw.where(n_fraction("sequence") <= config.max_n_fraction)
     a, b = (F.col("fwd.end"), F.col("rev.start")) if config.trim_primers else (F.col("fwd.start"), F.col("rev.end"))
     a, b = original_pos(a, "len"), original_pos(b, "len")
     back = F.col("strand") == "-"
