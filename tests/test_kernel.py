@@ -4,7 +4,8 @@ import pytest
 
 from amplispark.config import MatchConfig, PcrConfig
 from amplispark.functions.dna import rc_text
-from amplispark.operators.kernel import CODES, find_matches
+from amplispark.operators import kernel
+from amplispark.operators.kernel import CODES, find_forward_matches, find_matches, find_reverse_matches
 
 
 def c(k, **more):
@@ -30,6 +31,25 @@ def plain_ends(primer, text, k):
     return out
 
 
+def test_ends_by_pieces_are_those_of_the_whole_matrix(monkeypatch):
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choices(rng.choice(["ACGT", "ACGTNRY-", "AC"]), k=rng.randint(0, 400)))
+        pattern = "".join(rng.choices(rng.choice(["ACGT", "ACGTRYN", "A"]), k=rng.randint(1, 26)))
+        if rng.random() < 0.7 and len(text) > 40:
+            at = rng.randrange(len(text) - 30)
+            pattern = text[at : at + rng.randint(8, 24)].replace("-", "A")
+        k, subset = rng.randint(0, 3), rng.random() < 0.3
+        bits, letters = kernel.to_bits(text), kernel.to_bits(pattern)
+        at, cost = kernel.ends_within(bits, letters, k, subset)
+        whole = kernel.end_costs(bits, letters, k, subset) if text else bits
+        assert at.tolist() == [i for i, x in enumerate(whole.tolist()) if x <= k] and cost.tolist() == [x for x in whole.tolist() if x <= k]
+    text, config = "ACGTTGCAAC" * 40, c(2)
+    want = find_matches("TTGCAACACGTTG", text, config)
+    monkeypatch.setattr(kernel, "TILE", 37)
+    assert find_matches("TTGCAACACGTTG", text, config) == want and len(want) > 30
+
+
 def test_known_matches():
     (m,) = find_matches("ACGT", "AAAACGTAAA", c(0))
     assert (m.start, m.end, m.edit_distance, m.cigar, m.identity) == (3, 7, 0, "4=", 1.0)
@@ -38,6 +58,7 @@ def test_known_matches():
     assert len(find_matches("AAAA", "A" * 12, c(0))) == 1
     assert find_matches("", "ACGT") == [] and find_matches("ACGT", "") == []
     assert find_matches("NNNN", "XXXX", c(0)) == []
+    assert find_forward_matches("ACGT", "AAAACGTAAA", c(0)) == find_reverse_matches("ACGT", "AAAACGTAAA", c(0)) == find_matches("ACGT", "AAAACGTAAA", c(0))
 
 
 def test_ends_against_plain_recurrence():

@@ -79,6 +79,17 @@ def test_files(spark, tmp_path):
     assert not is_bgzf(str(tmp_path / "b.fa.gz"))
 
 
+def test_files_by_uri(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">r1 x\nAC\n>r2\nGG\n")
+    (tmp_path / "b.fa.gz").write_bytes(gzip.compress(b">r3\nTT\n"))
+    (tmp_path / "c.txt").write_text("no")
+    rows = read_records(spark, f"file://{tmp_path}/*.fa*").orderBy("rec_id").collect()
+    assert [(r["header"], r["sequence"]) for r in rows] == [("r1", "AC"), ("r2", "GG"), ("r3", "TT")]
+    assert expand_inputs(f"file://{tmp_path}/a.fa") == [f"file://{tmp_path}/a.fa"]
+    with pytest.raises(FileNotFoundError):
+        expand_inputs(f"file://{tmp_path}/none.fa")
+
+
 def test_large_file_in_pieces(spark, tmp_path):
     want = [(f"s{i}", "ACGT" * (i % 7)) for i in range(200)]
     (tmp_path / "a.fa").write_text("".join(f">{h} d\n" + "".join(s[j : j + 5] + "\n" for j in range(0, len(s), 5)) for h, s in want))
