@@ -11,7 +11,7 @@ from amplispark.functions.dna import AZ, LOWER_AZ
 
 LOG = logging.getLogger("amplispark")
 UPPER = str.maketrans(LOWER_AZ, AZ)
-NOT_LETTERS = re.compile("[^A-Za-z]")
+NOT_LETTERS = bytes(c for c in range(256) if not (chr(c).isascii() and chr(c).isalpha()))
 LONGEST_LINE = 100_000
 # Fixed value: the column from which on the values of a GenBank record's parts stand.
 COLUMN = 12
@@ -81,7 +81,7 @@ def genbank(lines: Iterable[bytes], path: str = "") -> Iterator[GenbankRecord]:
             yield done(True)
             now = None
         elif part == "ORIGIN":
-            seq.append(NOT_LETTERS.sub("", line))
+            seq.append(raw.translate(None, NOT_LETTERS).decode("ascii"))
         elif line.startswith("ORIGIN"):
             part = "ORIGIN"
         elif part == "FEATURES":
