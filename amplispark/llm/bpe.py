@@ -20,8 +20,8 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
 # Fixed value: how this vocabulary divides text before any merge.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Encoded pieces that a worker keeps.
-KEPT_PIECES = 400_000
+#: Pieces, and letters in them, that a worker keeps with their ids; beyond, all are dropped.
+KEPT_PIECES, KEPT_LETTERS = 400_000, 8_000_000
 #: Cells of one table of pieces that are merged side by side.
 CELLS = 1 << 20
 NONE = np.iinfo(np.int64).max
@@ -50,6 +50,7 @@ class Bpe:
         self.ranks = dict(zip(key.tolist(), range(len(pairs))))
         self.split = regex.compile(PATTERN)
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.letters = 0
 
     def ranks_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of merging each pair, NONE where there is no such merge."""
@@ -188,9 +189,11 @@ class Bpe:
     def encode(self, texts: Iterable[str | None]) -> list[list[int]]:
         """Ids of each text; an empty or null text has none."""
         cut = [self.split.findall(t) if t else [] for t in texts]
-        if len(self.kept) > KEPT_PIECES:
+        if len(self.kept) > KEPT_PIECES or self.letters > KEPT_LETTERS:
             self.kept.clear()
+            self.letters = 0
         new = list({p for c in cut for p in c} - self.kept.keys())
+        self.letters += sum(map(len, new))
         self.kept.update(zip(new, self.encode_pieces(new)))
         kept = self.kept
         return [[i for p in c for i in kept[p]] for c in cut]
