@@ -73,6 +73,12 @@ def reference_id(header: Column | str) -> Column:
     return F.when(h.rlike(r"\S"), F.regexp_extract(h, r"\S+", 0)).otherwise(h)
 
 
+def genbank_header(name: Column | str, accession: Column | str, definition: Column | str, n: Column | str) -> Column:
+    """Header of a GenBank record, the n-th of its file: the first of name, accession and definition that isn't null or empty."""
+    filled = [F.when(_col(c) != "", _col(c)) for c in (name, accession, definition)]
+    return F.coalesce(*filled, F.concat(F.lit("unknown_"), _col(n).cast("string")))
+
+
 def amplicon_id(header: Column | str, primer: Column | str, strand: Column | str, wrap: Column | str, case: Column | str) -> Column:
     return F.concat(
         reference_id(header), F.lit(":"), _col(primer),

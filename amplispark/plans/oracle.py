@@ -127,3 +127,9 @@ def numbered(per_call: bool = False, distinct: bool = False, **kinds) -> str:
     first = f"SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY reference_header, least(sequence, {RC.format('sequence')}) ORDER BY {_ORDER}) = 1" if distinct else "SELECT * FROM found"
     scope = "rec_id, primer_idx" if per_call else "reference_header"
     return products(**kinds) + f",\nleft_over AS ({first})\nSELECT * EXCLUDE (reference_header), row_number() OVER (PARTITION BY {scope} ORDER BY {_ORDER}) AS case_number FROM left_over"
+
+
+#: The usable pairs in order, names trimmed, numbered from 0.
+INLINE = _TABLES.split(",\npo AS")[0] + """
+SELECT CAST(row_number() OVER (ORDER BY idx) - 1 AS BIGINT) AS primer_idx, trim(name) AS name, f AS forward, upper(trim((SELECT any_value(reverse) FROM primers p WHERE p.primer_idx = u.primer_idx))) AS reverse
+FROM (SELECT pr.*, p.primer_idx FROM pr JOIN (SELECT row_number() OVER (ORDER BY primer_idx, name) - 1 AS idx, primer_idx FROM primers) p USING (idx)) u WHERE f IS NOT NULL AND v IS NOT NULL AND name NOT LIKE '%:%' AND name NOT LIKE '%;%'"""

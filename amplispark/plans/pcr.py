@@ -8,7 +8,7 @@ from amplispark.operators.finalize import count_by, dedup, finalize, flattened,
 from amplispark.operators.products import matches, pair_products, pool_products, records
 from amplispark.plans import oracle
 from amplispark.runtime import table
-from amplispark.sources.primers import Primer, pairs_of, pool_of
+from amplispark.sources.primers import Primer, pairs_of, parse_primers, pool_of, primers_frame
 from amplispark.sources.writers import fasta_text, tsv_columns
 from pyspark.sql import functions as F
 
@@ -110,6 +110,18 @@ def wrap_and_origpos(spark, sf):
     return t.select("product_id", *[c.alias(name) for name, c in sides])
 
 
+def genbank_header(spark, sf):
+    """Header and searched sequence of each GenBank record; those without letters are no records."""
+    t = table(spark, sf, "genbank_records").where(F.length("seq") > 0)
+    return t.select("gb_id", dna.genbank_header("name", "accession", "definition", "gb_id").alias("header"), dna.ascii_upper("seq").alias("sequence"), "is_circular")
+
+
+def primers_inline(spark, sf):
+    """The usable pairs, written as name:forward:reverse;... and parsed again."""
+    usable = [p for p in _pairs(spark, sf) if p.forward and p.reverse and not set(p.name) & set(":;")]
+    return primers_frame(spark, parse_primers(";".join(f" {p.name} :{p.forward.lower()}:{p.reverse}" for p in usable)))
+
+
 def format_detect(spark, sf):
     return table(spark, sf, "inbox_files").select("file_id", dna.file_format("source_file").alias("format"), dna.is_gzipped("source_file").alias("gzipped"))
 
@@ -140,6 +152,8 @@ QUERIES = {
     "wrap_and_origpos": (wrap_and_origpos, "SELECT product_id, " + ", ".join(f"{x}_end >= full_length AS {x}_wraps, CASE WHEN full_length <> 0 THEN (({x}_start % full_length) + full_length) % full_length END AS {x}_original" for x in ("fwd", "rev")) + " FROM products"),
     "format_detect": (format_detect, f"SELECT file_id, CASE WHEN {_EXT} IN ({_FASTA_EXT}) THEN 'fasta' WHEN {_EXT} IN ({_GB_EXT}) THEN 'genbank' END AS format, ends_with(lower(source_file), '.gz') AS gzipped FROM inbox_files"),
     "primer_validate": (primer_validate, "SELECT primer_idx, arm, regexp_full_match(upper(trim(raw, ' ')), '[ACGTRYSWKMBDHVN]*') AS valid, length(trim(raw, ' ')) NOT BETWEEN 10 AND 50 AS unusual FROM (SELECT primer_idx, 'forward' AS arm, forward AS raw FROM primers UNION ALL SELECT primer_idx, 'reverse', reverse FROM primers UNION ALL SELECT primer_idx, 'pool', sequence FROM pool_primers)"),
+    "genbank_header": (genbank_header, f"SELECT gb_id, coalesce(nullif(name, ''), nullif(accession, ''), nullif(definition, ''), 'unknown_' || gb_id) AS header, translate(seq, '{dna.LOWER_AZ}', '{dna.AZ}') AS sequence, is_circular FROM genbank_records WHERE length(seq) > 0"),
+    "primers_inline": (primers_inline, oracle.INLINE),
     "match_exact": _match(0),
     "match_approx": _match(2),
     "match_identity_filter": _match(2, identity=0.95),
