@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from amplispark.config import PcrConfig
 from amplispark.operators.finalize import RunSummary, finalize, summarize
-from amplispark.operators.products import pair_products, pool_products
+from amplispark.operators.products import SMALL_INPUT, pair_products, pool_products
 from amplispark.runtime import checkpointed
 from amplispark.shipping import ship
-from amplispark.sources.files import DEFAULT_LIMIT
+from amplispark.sources.files import DEFAULT_LIMIT, expand_inputs, size_of
 from amplispark.sources.primers import parse_pool_primers, parse_primers
 from amplispark.sources.seqfile import read_records
 from amplispark.sources.writers import check_writable, write_fasta, write_folder, write_tsv
@@ -36,10 +36,11 @@ class PcrJob:
 
     def products(self, recs: DataFrame | None = None) -> DataFrame:
         recs = self.records() if recs is None else recs
+        small = sum(map(size_of, expand_inputs(self.inputs))) < SMALL_INPUT * self.spark.sparkContext.defaultParallelism
         if self.pool:
-            found = pool_products(recs, parse_pool_primers(self.primers), self.config, self.pool_self_match)
+            found = pool_products(recs, parse_pool_primers(self.primers), self.config, self.pool_self_match, spread=small)
         else:
-            found = pair_products(recs, parse_primers(self.primers), self.config)
+            found = pair_products(recs, parse_primers(self.primers), self.config, spread=small)
         return finalize(found, self.remove_duplicates, self.pool)
 
     def run(self, fasta: str | None = None, tsv: str | None = None, stdout: bool = True, folders: bool = False) -> RunSummary:

@@ -24,6 +24,8 @@ _RAW = pa.schema([
 ])
 RAW_SQL = f"rec_id bigint, reference_header string, source_file string, len bigint, strand string, primer_idx bigint, rev_idx bigint, primer_name string, sequence string, fwd {MATCH_SQL}, rev {MATCH_SQL}"
 UPPER = str.maketrans(LOWER_AZ, AZ)
+#: Letters of a longer record that one task searches, and letters of context to their left.
+TILE_LETTERS, HALO = 1 << 22, 1 << 16
 #: Product rows that a worker holds before it hands them over.
 HELD = 5_000
 #: Pairs of matches of a record that are filtered at once.
@@ -121,37 +123,74 @@ def _passes(text: str, config: PcrConfig) -> Callable:
     return passes
 
 
+def _tiled(recs: DataFrame, strands: tuple[str, ...], reach: int, circular: int = 0) -> DataFrame:
+    """The records, longer ones than TILE_LETTERS in tiles: rec_id, header, source_file, len, strand, lo, hi, at, sequence, more.
+
+    A tile is of what is searched: the record or, for strand -, its reverse complement, followed by its first `circular` letters.
+    It has the match ends in (lo, hi], begins at `at`, HALO before lo, and goes on for `reach` beyond hi. sequence and `more` are
+    the stretches of the record, as it stands, that it consists of. A record that is not cut has no strand.
+    """
+    n, tile = F.length("sequence").cast("bigint"), F.lit(TILE_LETTERS).cast("bigint")
+    rows = recs.select(*RECORD, n.alias("len"), (n > tile).alias("_cut"), (n + F.least(n, F.lit(circular))).alias("_all"))
+    rows = rows.withColumn("strand", F.explode(F.when(F.col("_cut"), F.array(*map(F.lit, strands))).otherwise(F.array(F.lit(None).cast("string")))))
+    last = F.when(F.col("_cut"), F.ceil(F.col("_all") / tile) - 1).otherwise(F.lit(0).cast("bigint"))
+    rows = rows.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn("lo", F.col("lo") * tile)
+    rows = rows.withColumn("hi", F.when(F.col("_cut"), F.col("lo") + tile).otherwise(F.col("_all")))
+    rows = rows.withColumn("at", F.greatest(F.col("lo") - HALO, F.lit(0))).withColumn("_to", F.least(F.col("hi") + reach, F.col("_all")))
+
+    def stretch(a, b):
+        a, b = F.when(F.col("strand") == "-", F.col("len") - b).otherwise(a), F.when(F.col("strand") == "-", F.col("len") - a).otherwise(b)
+        return F.substring("sequence", (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
+
+    own = stretch(F.least("at", "len"), F.least("_to", "len"))
+    more = stretch(F.greatest(F.col("at"), F.col("len")) - F.col("len"), F.greatest(F.col("_to"), F.col("len")) - F.col("len"))
+    whole = F.col("strand").isNull()
+    return rows.select("rec_id", "header", "source_file", "len", "strand", "lo", "hi", "at", F.when(whole, F.col("sequence")).otherwise(own).alias("sequence"), F.when(~whole, more).alias("more"))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], strands: tuple[str, ...], extended: Callable[[list[str], str], list[str]]) -> Iterator[tuple[list[tuple], str, list[str]]]:
+    """What is searched together: (rec_id, header, source_file, len, lo, hi, at) of each text, strand, texts."""
+    for batch in slices(batches, "sequence"):
+        rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+        whole = [(*r[:4], 0, r[6], 0) for r in rows if r[4] is None]
+        texts = [(r[8] or "").translate(UPPER) for r in rows if r[4] is None]
+        for strand in strands if whole else ():
+            yield whole, strand, extended(texts, strand)
+        for r in rows:
+            if r[4] is not None:
+                parts = [(x or "").translate(UPPER) for x in r[8:10]]
+                yield [(*r[:4], *r[5:8])], r[4], ["".join(parts if r[4] == "+" else map(rc_text, parts))]
+
+
 def _worker(config: PcrConfig, hits: Callable[[list[str]], Found]):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "sequence"):
-            ids, heads, files, seqs = (c.to_pylist() for c in batch.columns)
-            seqs = [(s or "").translate(UPPER) for s in seqs]
-            rows: list[tuple] = []
-            for strand in _strands(config):
-                texts = _searched(seqs, config, strand)
-                last, passes = -1, None
-                for t, name, i, j, _, f, r in hits(texts):
-                    if t != last:
-                        last, passes = t, _passes(texts[t], config)
-                    if not passes(f.start, f.end, r.start, r.end):
-                        continue
-                    a, b = (f.end, r.start) if config.trim_primers else (f.start, r.end)
-                    rows.append((ids[t], heads[t], files[t], len(seqs[t]), strand, i, j, name, texts[t][a:b], f, r))
-                    if len(rows) >= HELD:
-                        yield _batch(rows)
-                        rows = []
+        rows: list[tuple] = []
+        for of, strand, texts in _pieces(batches, _strands(config), lambda seqs, strand: _searched(seqs, config, strand)):
+            last, passes = -1, None
+            for t, name, i, j, _, f, r in hits(texts):
+                if t != last:
+                    last, passes = t, _passes(texts[t], config)
+                rec, head, file, n, lo, hi, at = of[t]
+                if (len(of) == 1 and not lo < f.end + at <= hi) or not passes(f.start, f.end, r.start, r.end):
+                    continue
+                a, b = (f.end, r.start) if config.trim_primers else (f.start, r.end)
+                rows.append((rec, head, file, n, strand, i, j, name, texts[t][a:b], f, r, at))
+                if len(rows) >= HELD:
+                    yield _batch(rows)
+                    rows = []
             if rows:
                 yield _batch(rows)
+                rows = []
 
     return go
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     """The rows column by column."""
-    *plain, fwd, rev = zip(*rows)
+    *plain, fwd, rev, at = zip(*rows)
     sides = []
-    for matches_, strands in ((fwd, plain[4]), (rev, plain[4])):
-        parts = ([m.start for m in matches_], [m.end for m in matches_], [m.edit_distance for m in matches_], strands, [m.cigar for m in matches_], [m.identity for m in matches_])
+    for side in (fwd, rev):
+        parts = ([m.start + x for m, x in zip(side, at)], [m.end + x for m, x in zip(side, at)], [m.edit_distance for m in side], plain[4], [m.cigar for m in side], [m.identity for m in side])
         sides.append(pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(parts, _MATCH)], fields=list(_MATCH)))
     return pa.RecordBatch.from_arrays([*(pa.array(x, f.type) for x, f in zip(plain, _RAW)), *sides], schema=_RAW)
 
@@ -160,18 +199,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 SMALL_INPUT = 64 << 20
 
 
-def _spread(recs: DataFrame) -> DataFrame:
+def _spread(recs: DataFrame, spread: bool | None, *by: str) -> DataFrame:
     """The records in enough partitions for all cores. Searching costs far more than moving a small table's records; a large one has
-    partitions enough and isn't moved. What the optimizer estimates decides, so no job runs; streams stay as they are."""
-    if recs.isStreaming:
+    partitions enough and isn't moved. If it isn't said, what the optimizer estimates decides, so no job runs; streams stay as they are."""
+    if recs.isStreaming or spread is False:
         return recs
     cores = recs.sparkSession.sparkContext.defaultParallelism
     size = int(recs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return recs.repartition(4 * cores, "rec_id") if size < SMALL_INPUT * cores else recs
+    return recs.repartition(4 * cores, *by) if spread or size < SMALL_INPUT * cores else recs
 
 
-def _products(recs: DataFrame, config: PcrConfig, hits: Callable[[list[str]], Found]) -> DataFrame:
-    raw = _spread(recs.select(*RECORD).where(F.length("sequence") > 0)).mapInArrow(_worker(config, hits), RAW_SQL)
+def _products(recs: DataFrame, config: PcrConfig, hits: Callable[[list[str]], Found], spread: bool | None = None) -> DataFrame:
+    tiles = _tiled(recs.where(F.length("sequence") > 0), _strands(config), config.max_len + HALO, max(config.max_len - 1, 0) if config.circular else 0)
+    raw = _spread(tiles, spread, "rec_id", "strand", "lo").mapInArrow(_worker(config, hits), RAW_SQL)
     a, b = (F.col("fwd.end"), F.col("rev.start")) if config.trim_primers else (F.col("fwd.start"), F.col("rev.end"))
     a, b = original_pos(a, "len"), original_pos(b, "len")
     back = F.col("strand") == "-"
@@ -185,7 +225,7 @@ def _products(recs: DataFrame, config: PcrConfig, hits: Callable[[list[str]], Fo
     )
 
 
-def pair_products(recs: DataFrame, primers: Sequence[PrimerPair], config: PcrConfig = PcrConfig()) -> DataFrame:
+def pair_products(recs: DataFrame, primers: Sequence[PrimerPair], config: PcrConfig = PcrConfig(), spread: bool | None = None) -> DataFrame:
     """Products of primer pairs in records, one row each, not numbered yet.
 
     Columns: rec_id, primer_idx, rev_idx, reference_header, source_file, primer_name, sequence, full_length, fwd and rev
@@ -193,16 +233,18 @@ def pair_products(recs: DataFrame, primers: Sequence[PrimerPair], config: PcrCon
     complement for strand -), strand, is_circular_wrap, original_start, original_end. Length and wrap go by the span
     with primers, N content by the sequence given. Null and empty sequences and primers without both arms have no
     products; repeated records have theirs each; other columns are ignored. Only a scan and projections, the primers
-    travel with the tasks; records of too few files for all cores are spread first. Streams are not.
+    travel with the tasks; records of too few files for all cores are spread first, long ones in tiles, so that one
+    chromosome keeps all cores busy. Streams are not spread. In a record longer than TILE_LETTERS, a run of more than HALO
+    equally good ends with edits is taken as if nothing better stood before it.
     """
     primers = list(primers)
-    return _products(recs, config, lambda texts: _pair_hits(texts, primers, config))
+    return _products(recs, config, lambda texts: _pair_hits(texts, primers, config), spread)
 
 
-def pool_products(recs: DataFrame, primers: Sequence[Primer], config: PcrConfig = PcrConfig(), self_match: bool = False) -> DataFrame:
+def pool_products(recs: DataFrame, primers: Sequence[Primer], config: PcrConfig = PcrConfig(), self_match: bool = False, spread: bool | None = None) -> DataFrame:
     """Products of any two primers of a pool, as pair_products; the two may overlap. Names are joined by +."""
     primers = list(primers)
-    return _products(recs, config, lambda texts: _pool_hits(texts, primers, config, self_match))
+    return _products(recs, config, lambda texts: _pool_hits(texts, primers, config, self_match), spread)
 
 
 def matches(recs: DataFrame, primers: Sequence[Primer], config: MatchConfig = MatchConfig()) -> DataFrame:
@@ -213,15 +255,18 @@ def matches(recs: DataFrame, primers: Sequence[Primer], config: MatchConfig = Ma
     primers = list(primers)
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "sequence"):
-            ids = batch.column(0).to_pylist()
-            laid = Texts([to_bits((s or "").translate(UPPER)) for s in batch.column(1).to_pylist()], config.max_errors)
+        for of, _, texts in _pieces(batches, ("+",), lambda seqs, strand: seqs):
+            laid = Texts([to_bits(t) for t in texts], config.max_errors)
             rows = []
             for i, p in enumerate(primers):
                 for strand, text in (("+", p.sequence), ("-", rc_text(p.sequence)))[: 1 + config.search_rc]:
-                    rows += [(ids[t], i, p.name, m.start, m.end, m.edit_distance, strand, m.cigar, m.identity) for t, m in laid.find(to_bits(text), config)]
+                    for t, m in laid.find(to_bits(text), config):
+                        rec, _, _, _, lo, hi, at = of[t]
+                        if len(of) > 1 or lo < m.end + at <= hi:
+                            rows.append((rec, i, p.name, m.start + at, m.end + at, m.edit_distance, strand, m.cigar, m.identity))
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64())
             names = ["rec_id", "primer_idx", "primer_name", "start", "end", "edit_distance", "strand", "cigar", "identity"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], names=names)
 
-    return _spread(recs.where(F.length("sequence") > 0).select("rec_id", "sequence")).mapInArrow(go, "rec_id bigint, primer_idx bigint, primer_name string, start bigint, end bigint, edit_distance int, strand string, cigar string, identity double")
+    tiles = _tiled(recs.where(F.length("sequence") > 0), ("+",), HALO)
+    return _spread(tiles, None, "rec_id", "strand", "lo").mapInArrow(go, "rec_id bigint, primer_idx bigint, primer_name string, start bigint, end bigint, edit_distance int, strand string, cigar string, identity double")

@@ -138,6 +138,23 @@ def test_searches_with_edits_against_sql(spark):
         assert got and got == sorted(tuple(map(str, r)) for r in con.execute(f"SELECT {names} FROM ({sql})").fetchall()), name
 
 
+def test_long_records_in_tiles_give_the_same(spark, monkeypatch):
+    from amplispark.operators import products
+    from amplispark.plans import pcr
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("match_rc_strand", "pair_approx", "pair_rc_strand", "pair_circular", "pool_circular", "pool_rc_strand", "pair_n_filter"):
+        query = pcr.QUERIES[name][0]
+        monkeypatch.setattr(products, "TILE_LETTERS", 1 << 22)
+        want = sorted(map(repr, query(spark, sf).collect()))
+        for tile, halo in ((700, 300), (150, 400)):
+            monkeypatch.setattr(products, "TILE_LETTERS", tile)
+            monkeypatch.setattr(products, "HALO", halo)
+            assert sorted(map(repr, query(spark, sf).collect())) == want, (name, tile)
+    df = recs(spark, fill(50_000))
+    assert products._tiled(df, ("+", "-"), 100).count() == 2 * -(-50_000 // 150)
+
+
 def test_length_bounds_against_sql(spark):
     """The query pair_len_filter with bounds of its own on both sides, which those of pair_linear are not."""
     import duckdb
