@@ -80,6 +80,17 @@ def test_similar_sets_of_all_sizes(monkeypatch, deep):
         assert want <= got and len(got) < 2 * len(want)
 
 
+def test_sets_that_are_similar_in_part_by_a_single_token():
+    """One wider part is similar by a token alone, the other has a similar half but isn't similar itself; together the sets just are."""
+    one = [(7, 0)] + [(100 + i, 2 << 14) for i in range(15)] + [(200 + i, 3 << 14) for i in range(16)]
+    two = [(7, 0)] + [(100 + i, 2 << 14) for i in (*range(10), *range(30, 35))] + [(200 + i, 3 << 14) for i in (*range(11), *range(30, 37))]
+    a, b = ({x for x, _ in s} for s in (one, two))
+    assert 3 * len(a & b) == len(a) + len(b)
+    order, place = (np.array([x[k] for x in one + two]) for k in (0, 1))
+    owner = np.repeat([0, 1], [len(one), len(two)])
+    assert any(len(u) for u, _ in similar.similar_sets(np.bincount(owner), owner, order.astype(np.uint32), place.astype(np.uint16)))
+
+
 def test_answers_of_near_sets_are_derived():
     rng = random.Random(16)
     base = dna(rng, 1000)
