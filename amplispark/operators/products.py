@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from amplispark.config import MatchConfig, PcrConfig
 from amplispark.functions.dna import AZ, LOWER_AZ, original_pos, rc_text
 from amplispark.operators.kernel import Match, Texts, to_bits
 from amplispark.runtime import slices
-from amplispark.sources.primers import Primer, PrimerPair
+from amplispark.sources.primers import PAIRS_A_RUN, POOL_A_RUN, Primer, PrimerPair, pairs_in_runs, pool_in_runs
 
 RECORD = ("rec_id", "header", "source_file", "sequence")
 _MATCH = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("edit_distance", pa.int32()), ("strand", pa.string()), ("cigar", pa.string()), ("identity", pa.float64())])
@@ -75,21 +76,24 @@ def _pair_hits(texts: list[str], primers: Sequence[PrimerPair], config: PcrConfi
                 yield t, p.name, i, i, "", f, Match(r.start + f.end, r.end + f.end, r.edit_distance, r.strand, r.cigar, r.identity)
 
 
-def _pool_hits(texts: list[str], primers: Sequence[Primer], config: PcrConfig, self_match: bool) -> Found:
+def _pool_hits(texts: list[str], primers: Sequence[Primer], config: PcrConfig, self_match: bool, others: Sequence[Primer] | None = None, shift: int = 0) -> Found:
     """Each match of each primer with each match of the reverse complement of each (other) primer that ends further on.
 
+    The other ones are `others`, of which the i-th is the same primer as the (i + shift)-th of the first, or else the same list.
+
     The matches of a record are sorted by end, so the partners of one are a range of them. Pairs are filtered as arrays, as a long
     run of N alone, which any primer matches, makes millions.
     """
     laid = Texts([to_bits(t) for t in texts], config.match.max_errors)
     fwd: dict[int, list[tuple[int, Match]]] = {}
     rev: dict[int, list[tuple[int, int, Match]]] = {}
+    others = primers if others is None else others
     for j, p in enumerate(primers):
-        if p.sequence:
-            for t, m in laid.find(to_bits(p.sequence), config.match):
-                fwd.setdefault(t, []).append((j, m))
-            for t, m in laid.find(to_bits(rc_text(p.sequence)), config.match):
-                rev.setdefault(t, []).append((m.end, j, m))
+        for t, m in laid.find(to_bits(p.sequence), config.match) if p.sequence else ():
+            fwd.setdefault(t, []).append((j, m))
+    for j, p in enumerate(others):
+        for t, m in laid.find(to_bits(rc_text(p.sequence)), config.match) if p.sequence else ():
+            rev.setdefault(t, []).append((m.end, j, m))
     for t in sorted(fwd.keys() & rev.keys()):
         ahead, back = fwd[t], sorted(rev[t], key=lambda x: x[:2])
         i, start, end = (np.array(c, np.int64) for c in zip(*((i, m.start, m.end) for i, m in ahead)))
@@ -103,10 +107,10 @@ def _pool_hits(texts: list[str], primers: Sequence[Primer], config: PcrConfig, s
             n = np.diff(upto[done:to], prepend=before)
             f = np.repeat(np.arange(done, to), n)
             r = np.repeat(lo[done:to] - np.cumsum(n) + n, n) + np.arange(len(f))
-            good = passes(start[f], end[f], begin[r], stop[r]) & (self_match | (i[f] != j[r]))
+            good = passes(start[f], end[f], begin[r], stop[r]) & (self_match | (i[f] != j[r] + shift))
             for x, y in zip(f[good].tolist(), r[good].tolist()):
                 (a, m), (_, b, w) = ahead[x], back[y]
-                yield t, f"{primers[a].name}+{primers[b].name}", a, b, "", m, w
+                yield t, f"{primers[a].name}+{others[b].name}", a, b, "", m, w
             done = to
 
 
@@ -247,6 +251,30 @@ def pool_products(recs: DataFrame, primers: Sequence[Primer], config: PcrConfig
     return _products(recs, config, lambda texts: _pool_hits(texts, primers, config, self_match), spread)
 
 
+def pair_products_of(recs: DataFrame, primers: DataFrame, config: PcrConfig = PcrConfig(), spread: bool | None = None, most: int = PAIRS_A_RUN) -> DataFrame:
+    """pair_products of a table of primers (primer_idx, name, forward, reverse) of any size: a search for each `most` of them."""
+    found, first = [], 0
+    for run in pairs_in_runs(primers, most):
+        found.append(_numbered_from(pair_products(recs, run, config, spread), first, first))
+        first += len(run)
+    return reduce(DataFrame.unionByName, found) if found else pair_products(recs, [], config, spread)
+
+
+def pool_products_of(recs: DataFrame, primers: DataFrame, config: PcrConfig = PcrConfig(), self_match: bool = False, spread: bool | None = None, most: int = POOL_A_RUN) -> DataFrame:
+    """pool_products of a table of primers (primer_idx, name, sequence) of any size: a search for each two groups of `most` of them."""
+    runs = list(pool_in_runs(primers, most))
+    found = []
+    for a, ahead in enumerate(runs):
+        for b, back in enumerate(runs):
+            hits = partial(_pool_hits, primers=ahead, config=config, self_match=self_match, others=back, shift=(b - a) * most)
+            found.append(_numbered_from(_products(recs, config, hits, spread), a * most, b * most))
+    return reduce(DataFrame.unionByName, found) if found else pool_products(recs, [], config, self_match, spread)
+
+
+def _numbered_from(products: DataFrame, first: int, other: int) -> DataFrame:
+    return products.withColumns({"primer_idx": F.col("primer_idx") + first, "rev_idx": F.col("rev_idx") + other})
+
+
 def matches(recs: DataFrame, primers: Sequence[Primer], config: MatchConfig = MatchConfig()) -> DataFrame:
     """Matches of each primer in each record: rec_id, primer_idx, primer_name, start, end, edit_distance, strand, cigar, identity.
 

@@ -6,6 +6,7 @@ import csv
 import logging
 import os
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,23 +107,49 @@ def _clean(seq: str | None) -> str:
     return "" if NOT_IUPAC.search(seq) else seq
 
 
-def pairs_of(df: DataFrame, most: int = 100_000) -> list[PrimerPair]:
-    """Pairs of a table primer_idx, name, forward, reverse, in order of primer_idx. An unusable arm is empty and matches nothing.
+#: Pairs, and primers of a pool, that travel together with the tasks of one search.
+PAIRS_A_RUN, POOL_A_RUN = 100_000, 10_000
 
-    A table of more than `most` rows is refused: it belongs in several runs.
-    """
-    rows = df.select("primer_idx", "name", "forward", "reverse").orderBy("primer_idx", "name").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} primer pairs")
-    return [PrimerPair(r["name"], _clean(r["forward"]), _clean(r["reverse"])) for r in rows]
 
+def _runs(df: DataFrame, columns: tuple[str, ...], most: int) -> Iterator[list]:
+    """The rows in order of primer_idx and name, at most so many at a time."""
+    held: list = []
+    for r in df.select(*columns).orderBy("primer_idx", "name").toLocalIterator():
+        held.append(r)
+        if len(held) == most:
+            yield held
+            held = []
+    if held:
+        yield held
 
-def pool_of(df: DataFrame, most: int = 10_000) -> list[Primer]:
-    """Pool primers of a table primer_idx, name, sequence, as pairs_of."""
-    rows = df.select("primer_idx", "name", "sequence").orderBy("primer_idx", "name").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} primers")
-    return [Primer(r["name"], _clean(r["sequence"])) for r in rows]
+
+def pairs_in_runs(df: DataFrame, most: int = PAIRS_A_RUN) -> Iterator[list[PrimerPair]]:
+    """Pairs of a table primer_idx, name, forward, reverse, in order of primer_idx. An unusable arm is empty and matches nothing."""
+    for rows in _runs(df, ("primer_idx", "name", "forward", "reverse"), most):
+        yield [PrimerPair(r["name"], _clean(r["forward"]), _clean(r["reverse"])) for r in rows]
+
+
+def pool_in_runs(df: DataFrame, most: int = POOL_A_RUN) -> Iterator[list[Primer]]:
+    """Pool primers of a table primer_idx, name, sequence, as pairs_in_runs."""
+    for rows in _runs(df, ("primer_idx", "name", "sequence"), most):
+        yield [Primer(r["name"], _clean(r["sequence"])) for r in rows]
+
+
+def pairs_of(df: DataFrame) -> list[PrimerPair]:
+    """All pairs of a table as one list, for a table of no more than a run; pair_products_of takes any."""
+    return _single(pairs_in_runs(df))
+
+
+def pool_of(df: DataFrame) -> list[Primer]:
+    """All primers of a pool as one list; pool_products_of takes a table of any size."""
+    return _single(pool_in_runs(df))
+
+
+def _single(runs: Iterator[list]) -> list:
+    first = next(runs, [])
+    if next(runs, None):
+        raise ValueError("too many primers for one list: give the table to pair_products_of or pool_products_of")
+    return first
 
 
 def primers_frame(spark: SparkSession, primers: list[PrimerPair]) -> DataFrame:

@@ -155,6 +155,23 @@ def test_long_records_in_tiles_give_the_same(spark, monkeypatch):
     assert products._tiled(df, ("+", "-"), 100).count() == 2 * -(-50_000 // 150)
 
 
+def test_primers_in_runs_give_the_same(spark):
+    from amplispark.operators.products import pair_products_of, pool_products_of
+    from amplispark.sources.primers import pairs_of, pool_of
+
+    sf = "/root/testdata/sf0.001"
+    t = spark.read.parquet(f"{sf}/sequences.parquet")
+    df = recs(spark, *[(r["header"], r["sequence"]) for r in t.collect() if r["sequence"]])
+    pairs, pool = (spark.read.parquet(f"{sf}/{name}.parquet") for name in ("primers", "pool_primers"))
+    config = PcrConfig(MatchConfig(1), 50, 2000)
+    want = sorted(map(repr, pair_products(df, pairs_of(pairs), config).collect()))
+    assert want and sorted(map(repr, pair_products_of(df, pairs, config, most=20).collect())) == want
+    for same in (False, True):
+        want = sorted(map(repr, pool_products(df, pool_of(pool), config, same).collect()))
+        assert want and sorted(map(repr, pool_products_of(df, pool, config, same, most=15).collect())) == want
+    assert pair_products_of(df, pairs.limit(0), config).count() == 0 and pool_products_of(df, pool.limit(0), config).count() == 0
+
+
 def test_length_bounds_against_sql(spark):
     """The query pair_len_filter with bounds of its own on both sides, which those of pair_linear are not."""
     import duckdb
