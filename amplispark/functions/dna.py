@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 LETTERS = "ACGTURYSWKMBVDHNacgturyswkmbvdhn"
 COMPLEMENTS = "TGCAAYRSWMKVBHDNtgcaayrswmkvbhdn"
 AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COMPLEMENT_OF = dict(zip(LETTERS, COMPLEMENTS))
 WIDTH = 80
 
 
+class _Complements(dict):
+    """For str.translate: every letter that isn't listed becomes N."""
+
+    def __missing__(self, letter: int) -> str:
+        return "N"
+
+
+COMPLEMENT_OF = _Complements(str.maketrans(LETTERS, COMPLEMENTS))
+
+
 def rc_text(seq: str) -> str:
     """reverse_complement of a Python string."""
-    return "".join(COMPLEMENT_OF.get(c, "N") for c in reversed(seq))
+    return seq.translate(COMPLEMENT_OF)[::-1]
 
 
 def _col(c: Column | str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -128,6 +129,16 @@ def pick_ends(at: np.ndarray, cost: np.ndarray, report: str) -> np.ndarray:
 
 
 def align(pattern: np.ndarray, window: np.ndarray, cost: int, subset: bool) -> tuple[int, str]:
+    """As _aligned. A site recurs in many records and slices, so the last ALIGNED answers are kept."""
+    return _aligned(pattern.tobytes(), window.tobytes(), cost, subset)
+
+
+#: Alignments that a worker keeps, of some 200 bytes each.
+ALIGNED = 1 << 16
+
+
+@lru_cache(ALIGNED)
+def _aligned(pattern: bytes, window: bytes, cost: int, subset: bool) -> tuple[int, str]:
     """Length of the matched substring at the window's end, and how it aligns.
 
     Of the substrings of this cost the one nearest to the pattern's length, then the shorter. The way back through
@@ -137,10 +148,10 @@ def align(pattern: np.ndarray, window: np.ndarray, cost: int, subset: bool) -> t
     m, w = len(pattern), len(window)
     wrong = (lambda p, t: t == 0 or (p & t) != t) if subset else (lambda p, t: (p & t) == 0)
     if w >= m:
-        pairs = [wrong(p, t) for p, t in zip(pattern.tolist(), window[w - m :].tolist())]
+        pairs = [wrong(p, t) for p, t in zip(pattern, window[w - m :])]
         if sum(pairs) == cost:
             return m, _runs("X" if x else "=" for x in pairs)
-    p, t = pattern.tolist(), window.tolist()
+    p, t = list(pattern), list(window)
     back = list(range(w + 1))  # cost of the pattern's suffix against each suffix of the window
     for i in range(1, m + 1):
         prev, back = back, [i] + [0] * w
