@@ -80,6 +80,76 @@ def test_similar_sets_of_all_sizes(monkeypatch, deep):
         assert want <= got and len(got) < 2 * len(want)
 
 
+@pytest.mark.parametrize("deep", [1 << 18, 0])
+def test_similar_sets_in_files(monkeypatch, deep):
+    """As test_similar_sets_of_all_sizes, with fewer sets in memory than there are, of whole texts and of the parts in which they travel."""
+    for name, value in (("DEEP", deep), ("HELD", 10), ("STEP", 7)):
+        monkeypatch.setattr(similar, name, value)
+    rng = random.Random(19)
+    for letters, t in (("ACGT", 0.5), ("ACGTn", 0.5), ("AC", 0.3)):
+        texts = []
+        for size in (9, 12, 20, 40, 70, 150, 300, 700):
+            base = dna(rng, size, letters)
+            texts += [base, *(mutate(rng, base, rng.randint(1, 1 + size // 12)) for _ in range(4)), base[: size * 2 // 3], base[size // 2 :] + base[: size // 2]]
+        texts = [x for x in texts if len(x) >= 8]
+        sets = [{x[i : i + 8] for i in range(len(x) - 7)} for x in texts]
+        want = {(j, i) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= t * len(sets[i] | sets[j]) - 1e-12}
+        row, small, row_o, odd = similar.shingles(texts)
+        every = np.bincount(row, minlength=len(texts)) + np.bincount(row_o, minlength=len(texts))
+        packer = similar.zstandard.ZstdCompressor()
+        got = {0: set(), 3: set()}
+        for shift in got:
+            for part in range(1 << shift):
+                filed = similar._Sets()
+                for lo in range(0, len(texts), 20):
+                    a, b = ((r >= lo) & (r < lo + 20) & (p >> (16 - shift) == part) for r, p in ((row, small.astype(int)), (row_o, (odd >> np.uint64(48)).astype(int))))
+                    n = min(20, len(texts) - lo)
+                    if a.any() or b.any():
+                        counts = [(np.bincount(r[k] - lo, minlength=n), x[k]) for r, x, k in ((row, small, a), (row_o, odd, b))]
+                        filed.add(similar._blob(np.arange(lo, lo + n), every[lo : lo + n], *counts, packer))
+                filed.map()
+                for u, v in similar._similar_filed(filed, part, t, shift, None):
+                    got[shift] |= {(min(a, b), max(a, b)) for a, b in zip(filed.ids[u].tolist(), filed.ids[v].tolist())}
+                filed.close()
+        assert want <= got[0] and len(got[0]) < 2 * len(want) and len(want) > 40
+        assert {p for p in want if min(every[list(p)]) >= 32} <= got[3]
+
+
+def test_keys_of_all_kinds_in_one_task(spark, monkeypatch):
+    for name, value in (("FEW", 8), ("HELD", 50), ("STEP", 30)):
+        monkeypatch.setattr(similar, name, value)
+    rng = random.Random(20)
+    rows = [(i, k, s) for i, (k, s) in enumerate((k, s) for k, n in (("a", 4), ("b", 30), ("c", 150), ("d", 40), ("e", 120), ("f", 5)) for s in family(rng, n))]
+    sets = {i: (k, {s[j : j + 8] for j in range(len(s) - 7)}) for i, k, s in rows if len(s) >= 8}
+    want = {(a, b) for a, (k, x) in sets.items() for b, (l, y) in sets.items() if a < b and k == l and 3 * len(x & y) >= len(x) + len(y)}
+    df = spark.createDataFrame(rows, "pid bigint, k string, s string")
+    got = [tuple(r) for r in similar_pairs(df, "pid", "k", "s").collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_sets_of_a_hot_key_travel_once(spark, monkeypatch):
+    """As many bytes are shuffled for a key of many times the sets that a task may hold as for one that it may hold."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        spark.range(100, numPartitions=4).count()  # what the tasks before have told is now known
+        sc.listenerBus().waitUntilEmpty()
+        executors = sc.statusStore().executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    rng = np.random.default_rng(21)
+    rows = [(i, "k", "".join(x)) for i, x in enumerate(np.array(list("ACGT"))[rng.integers(0, 4, (2000, 260))])]
+    df = spark.createDataFrame(rows, "pid bigint, k string, s string")
+    monkeypatch.setattr(similar, "FEW", 1)
+    took = []
+    for held in (1 << 19, 500):
+        monkeypatch.setattr(similar, "HELD", held)
+        before = shuffled()
+        assert similar_pairs(df, "pid", "k", "s").count() == 0
+        took.append(shuffled() - before)
+    assert took[0] > 2000 * 200 and took[1] < 1.2 * took[0]
+
+
 def test_sets_that_are_similar_in_part_by_a_single_token():
     """One wider part is similar by a token alone, the other has a similar half but isn't similar itself; together the sets just are."""
     one = [(7, 0)] + [(100 + i, 2 << 14) for i in range(15)] + [(200 + i, 3 << 14) for i in range(16)]
